@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandex.llm import byte_bpe, packing, quality, shards, simhash, toxicity, url_filter
+from strandex.llm import byte_bpe, packing, quality, shards, simhash, substring_dedup, toxicity, url_filter
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -21,6 +21,10 @@ def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(_table(spark, sf_dir, "pages"), URL_RULES)
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digests(_table(spark, sf_dir, "documents"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
@@ -47,7 +51,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op3_byte_bpe, op4_quality, op5_simhash, op6_toxicity, op7_packing, op9_sharding)
+    own = (op1_url_filter, op2_substring_dedup, op3_byte_bpe, op4_quality, op5_simhash, op6_toxicity, op7_packing, op9_sharding)
     return {f.__name__: f for f in own}
 
 
