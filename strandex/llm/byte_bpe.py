@@ -15,16 +15,18 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import os
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MEMO_PIECES = 200_000
+MEMO_PIECES = 500_000
 #: Longer pieces are encoded anew each time.
 MEMO_LENGTH = 64
 
@@ -107,11 +109,9 @@ class ByteBPE:
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
         memo, pieces = self.memo, self.split(text)
-        if missing := {p for p in pieces if p not in memo}:
+        if missing := set(pieces).difference(memo):
             memo.update(self._learn(missing))
-        ids: list[int] = []
-        for p in pieces:
-            ids += memo[p]
+        ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
         for p in missing:
             if len(p) > MEMO_LENGTH:
                 del memo[p]
@@ -139,7 +139,8 @@ class ByteBPE:
 
 @lru_cache(maxsize=4)
 def codec(path: str, pattern: str) -> ByteBPE:
-    """One codec for each file, pattern and Python worker."""
+    """One codec for each file, pattern and Python worker; the library runs no threads beside Spark's tasks."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
     return ByteBPE(path, pattern)
 
 
