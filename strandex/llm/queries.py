@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandex.llm import byte_bpe, packing, quality, shards, simhash, substring_dedup, toxicity, url_filter
+from strandex.llm import byte_bpe, packing, quality, shards, simhash, substring_dedup, toxicity, url_filter, winnowing
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -45,13 +45,17 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.PATTERN)
 
 
+def op8_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.compare_with_edited(_table(spark, sf_dir, "documents"))
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     dealt = shards.shard_by_bytes(_table(spark, sf_dir, "documents"), 24)
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_substring_dedup, op3_byte_bpe, op4_quality, op5_simhash, op6_toxicity, op7_packing, op9_sharding)
+    own = (op1_url_filter, op2_substring_dedup, op3_byte_bpe, op4_quality, op5_simhash, op6_toxicity, op7_packing, op8_winnowing, op9_sharding)
     return {f.__name__: f for f in own}
 
 
