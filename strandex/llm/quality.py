@@ -108,6 +108,14 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
     return counts(docs, id_col, text_col).withColumn("base_failed", failed).withColumn("kept", ~F.col("base_failed") & verdict(table))
 
 
+def keep(docs: DataFrame, text_col: str = "text", table: list[tuple[str, str, int, str, int]] = TABLE) -> DataFrame:
+    """The rows that are kept, with all their columns."""
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs[text_col].alias("__text"))
+    judged = judge(rows, "__row", "__text", table)
+    # Not where(): it would be pushed below the projections, and each count would be computed again at every mention.
+    return judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")
+
+
 def oracle_sql() -> str:
     """The same for DuckDB."""
     stop = ", ".join(sorted(f"'{form}'" for form in {form for w in STOP_WORDS for form in (w, w.capitalize())}))

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandex.llm import byte_bpe, packing, quality, shards, simhash, substring_dedup, toxicity, url_filter, winnowing
+from strandex.llm import byte_bpe, licenses, packing, quality, shards, simhash, substring_dedup, toxicity, url_filter, winnowing
 
 URL_RULES = [("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/")]
 
@@ -54,8 +54,12 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_url_filter, op2_substring_dedup, op3_byte_bpe, op4_quality, op5_simhash, op6_toxicity, op7_packing, op8_winnowing, op9_sharding)
+    own = (op1_url_filter, op2_substring_dedup, op3_byte_bpe, op4_quality, op5_simhash, op6_toxicity, op7_packing, op8_winnowing, op9_sharding, op10_license_scan)
     return {f.__name__: f for f in own}
 
 

@@ -219,3 +219,16 @@ def score(docs: DataFrame, terms: list[str], index: Index, id_col: str = "doc_id
 def judge(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """Fit on the labelled rows that are not held out, and score every whole text."""
     return score(docs, *fit(docs, labels, examples, id_col, text_col), id_col, text_col, threshold)
+
+
+def keep(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+    """The rows that are not predicted to be toxic, with all their columns."""
+    terms, index = fit(docs, labels, examples, id_col, text_col)
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = Counts(terms)
+        for b in batches:
+            yield b.filter(pa.array([index.score(*counts(t.as_py()))[0] < threshold for t in b.column(place)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
