@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 BITS = 16
 GRAMS = (3, 4, 5)
-ROUNDS = 400
-RATE, DECAY = 4.0, 1e-4
+ROUNDS = 2000
+RATE, DECAY = 7.0, 1e-5
 
 # Words of the labelled table: hosts made of the first are unwanted, of the second wanted.
 BLOCK_WORDS = """spam farm cheap pills casino poker bets jackpot slots viagra pharma meds replica watches
