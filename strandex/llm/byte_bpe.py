@@ -17,16 +17,17 @@ import base64
 import hashlib
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
-from itertools import chain
+from operator import attrgetter
 
 import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MEMO_PIECES = 500_000
+MEMO_PIECES = 300_000
 #: Longer pieces are encoded anew each time.
 MEMO_LENGTH = 64
 
@@ -66,6 +67,9 @@ def _newer_letters():
     return regex.compile("[" + "".join(map(regex.escape, newer)) + "]").search if newer else lambda _: None
 
 
+_ID = attrgetter("id")
+
+
 class ByteBPE:
     """Codec of one vocabulary file: `.tiktoken` (base64 token and rank a line) or a byte-level `tokenizers` JSON file."""
 
@@ -78,6 +82,7 @@ class ByteBPE:
             self.model = _model_from_ranks(ranks)
         else:
             self.model = _model_from_json(path)
+        self.merge = self.model.model.tokenize
         table = byte_table()
         back = {c: b for b, c in enumerate(table)}
         self.bytes_of: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in self.model.get_vocab().items() if all(c in back for c in t)}
@@ -85,7 +90,7 @@ class ByteBPE:
         self.split_any = pre_tokenizers.Split(Regex(pattern), "isolated").pre_tokenize_str
         self.newer = _newer_letters()
         self.spelling = {b: c for b, c in enumerate(table)}  # a Latin-1 text's translation: one character a byte
-        self.memo: dict[str, tuple[int, ...]] = {}
+        self.memo: dict[str, bytes] = {}
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text."""
@@ -99,19 +104,19 @@ class ByteBPE:
     def _spell(self, piece: str) -> str:
         return piece.encode().decode("latin-1").translate(self.spelling)
 
-    def _learn(self, pieces: Iterable[str]) -> dict[str, tuple[int, ...]]:
-        """Ids of pieces, through the library."""
-        new = list(pieces)
-        return dict(zip(new, (tuple(e.ids) for e in self.model.encode_batch_fast(list(map(self._spell, new)), add_special_tokens=False)), strict=True))
+    def _learn(self, piece: str) -> bytes:
+        """A piece's ids, by the library, as unsigned 32-bit numbers."""
+        return array("I", map(_ID, self.merge(self._spell(piece)))).tobytes()
 
-    def encode(self, text: str) -> list[int]:
-        """Ids of a whole text."""
+    def encode(self, text: str) -> np.ndarray:
+        """Ids of a whole text, unsigned 32-bit."""
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
         memo, pieces = self.memo, self.split(text)
-        if missing := set(pieces).difference(memo):
-            memo.update(self._learn(missing))
-        ids = list(chain.from_iterable(map(memo.__getitem__, pieces)))
+        missing = set(pieces).difference(memo)
+        for p in missing:
+            memo[p] = self._learn(p)
+        ids = np.frombuffer(b"".join(map(memo.__getitem__, pieces)), dtype=np.uint32)
         for p in missing:
             if len(p) > MEMO_LENGTH:
                 del memo[p]
@@ -192,15 +197,10 @@ def digest_documents(docs: DataFrame, path: str, pattern: str, id_col: str = "do
         for batch in batches:
             n, ids_sha, text_sha = [], [], []
             for value in batch.column(1):
-                ids = own.encode(value.as_py() or "")
+                ids = own.encode(value.as_py() or "").tolist()
                 n.append(len(ids))
                 ids_sha.append(hashlib.sha256(",".join(map(decimal.__getitem__, ids)).encode()).hexdigest())
                 text_sha.append(hashlib.sha256(own.decode_bytes(ids)).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(text_sha, pa.string())], [id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _texts(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
-
-
-def as_array(ids: list[int]) -> np.ndarray:
-    """Ids as little-endian unsigned 32-bit numbers."""
-    return np.array(ids, dtype="<u4")

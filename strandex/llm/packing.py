@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from strandex.llm.byte_bpe import as_array, codec
+from strandex.llm.byte_bpe import codec
 
 OPEN_WINDOWS = 2048
 #: A task numbers its windows from its partition number times this.
@@ -123,6 +123,7 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        end = np.uint32(end_id)
         own, packer, schema = codec(path, pattern), Packer(size, TaskContext.get().partitionId() * WINDOWS_OF_A_TASK), None
 
         def out():
@@ -133,9 +134,7 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int
         for batch in batches:
             schema = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = own.encode(text.as_py() or "")
-                ids.append(end_id)
-                packer.add(doc, as_array(ids))
+                packer.add(doc, np.append(own.encode(text.as_py() or ""), end).astype("<u4", copy=False))
             yield out()
         if schema is not None:
             packer.drain()
