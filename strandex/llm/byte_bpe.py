@@ -27,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-MEMO_PIECES = 300_000
+MEMO_PIECES = 400_000
 #: Longer pieces are encoded anew each time.
 MEMO_LENGTH = 64
 
@@ -67,6 +67,19 @@ def _newer_letters():
     return regex.compile("[" + "".join(map(regex.escape, newer)) + "]").search if newer else lambda _: None
 
 
+class _Memo(dict):
+    """The ids, as unsigned 32-bit numbers, of pieces; a new piece is merged by the library's model, and kept unless it is long."""
+
+    def __init__(self, merge, spell):
+        self.merge, self.spell = merge, spell
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = array("I", map(_ID, self.merge(self.spell(piece)))).tobytes()
+        if len(piece) <= MEMO_LENGTH:
+            self[piece] = ids
+        return ids
+
+
 _ID = attrgetter("id")
 
 
@@ -82,7 +95,6 @@ class ByteBPE:
             self.model = _model_from_ranks(ranks)
         else:
             self.model = _model_from_json(path)
-        self.merge = self.model.model.tokenize
         table = byte_table()
         back = {c: b for b, c in enumerate(table)}
         self.bytes_of: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in self.model.get_vocab().items() if all(c in back for c in t)}
@@ -90,7 +102,7 @@ class ByteBPE:
         self.split_any = pre_tokenizers.Split(Regex(pattern), "isolated").pre_tokenize_str
         self.newer = _newer_letters()
         self.spelling = {b: c for b, c in enumerate(table)}  # a Latin-1 text's translation: one character a byte
-        self.memo: dict[str, bytes] = {}
+        self.memo = _Memo(self.model.model.tokenize, self._spell)
 
     def split(self, text: str) -> list[str]:
         """The pieces of a text."""
@@ -104,23 +116,11 @@ class ByteBPE:
     def _spell(self, piece: str) -> str:
         return piece.encode().decode("latin-1").translate(self.spelling)
 
-    def _learn(self, piece: str) -> bytes:
-        """A piece's ids, by the library, as unsigned 32-bit numbers."""
-        return array("I", map(_ID, self.merge(self._spell(piece)))).tobytes()
-
     def encode(self, text: str) -> np.ndarray:
         """Ids of a whole text, unsigned 32-bit."""
         if len(self.memo) > MEMO_PIECES:
             self.memo.clear()
-        memo, pieces = self.memo, self.split(text)
-        missing = set(pieces).difference(memo)
-        for p in missing:
-            memo[p] = self._learn(p)
-        ids = np.frombuffer(b"".join(map(memo.__getitem__, pieces)), dtype=np.uint32)
-        for p in missing:
-            if len(p) > MEMO_LENGTH:
-                del memo[p]
-        return ids
+        return np.frombuffer(b"".join(map(self.memo.__getitem__, self.split(text))), dtype=np.uint32)
 
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids with the byte offset at which each token starts and ends in the text's UTF-8."""
