@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex.operators import codec, lookup, matching
-from strandex.plans.dictionary import RECOMMENDED, Dictionary, Params, build, size_bytes
+from strandex.plans.dictionary import RECOMMENDED, Dictionary, Params, build, size_bytes, stats
 from strandex.sources import store
 
 
@@ -25,15 +25,21 @@ def differing(lines: DataFrame, dictionary: Dictionary) -> DataFrame:
 
 
 def encode_report(spark: SparkSession, lines: DataFrame, dictionary: Dictionary, verify: bool = False) -> DataFrame:
-    """One row: bytes in and out, dictionary size, ratios, seconds, MiB a second."""
+    """One row: bytes in and out, dictionary size, ratios, seconds, MiB a second, the dictionary's figures and parameters."""
     began = time.perf_counter()
     row = codec.totals(lines, codec.encode(lines, dictionary.coded())).first()
     seconds = time.perf_counter() - began
     if verify and (bad := differing(lines, dictionary).count()):
         raise AssertionError(f"{bad} lines do not come back")
-    size = size_bytes(dictionary.frame(spark)).first()["dict_size"]
+    frame = dictionary.frame(spark)
+    size, about, params = size_bytes(frame).first()["dict_size"], stats(frame, dictionary.records).first(), dictionary.params
     read, out = row["decoded_bytes"], row["encoded_bytes"]
-    return spark.createDataFrame([(row["n"], read, out, size, out / max(read, 1), (out + size) / max(read, 1), seconds, read / max(seconds, 1e-9) / 2**20)], "n long, decoded_bytes long, encoded_bytes long, dict_size long, ratio double, ratio_with_dict double, seconds double, mib_per_s double")
+    report = {
+        "n": row["n"], "decoded_bytes": read, "encoded_bytes": out, "dict_size": size, "ratio": out / max(read, 1), "ratio_with_dict": (out + size) / max(read, 1),
+        "seconds": seconds, "mib_per_s": read / max(seconds, 1e-9) / 2**20, "symbols": about["symbols"], "patterns": about["patterns"], "max_code_len": about["max_code_len"],
+        "max_pattern_len": about["max_pattern_len"], "pattern_chars": about["pattern_chars"], "n1": params.n1, "n2": params.n2, "k": params.k, "r": params.r,
+    }
+    return spark.createDataFrame([tuple(report.values())], ", ".join(f"{name} {'double' if isinstance(v, float) else 'long'}" for name, v in report.items()))
 
 
 def test(spark: SparkSession, lines: DataFrame, path: str, params: Params = RECOMMENDED, delimiters: str | None = None, verify: bool = True) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandex import schema
-from strandex.functions import scalars
+from strandex.functions import scalars, udfs
 from strandex.operators import codec, cover, lookup, matching, mining, selection
 from strandex.plans import dictionary as plans
 from strandex.sources import lines as sources
@@ -283,6 +283,12 @@ SELECT str, freq, greatest(1, floor(h))::BIGINT AS code_len FROM walk WHERE ok""
         lambda s, d: _table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("x")).select("x", scalars.popcount(F.col("x")).cast("long").alias("ones"), *(scalars.get_bits(F.col("x"), F.lit(i), 3).alias(f"f{i}") for i in range(3))),
         "SELECT x, bit_count(x)::BIGINT AS ones, (x >> 0) & 7 AS f0, (x >> 3) & 7 AS f1, (x >> 6) & 7 AS f2 FROM (SELECT o_orderkey::BIGINT AS x FROM orders)",
     )
+    q["crc32c_of_urls"] = lambda s, d: _pages(s, d).select("line_no", udfs.crc32c()("line").alias("crc")), None
+    q["udf_roundtrip"] = (
+        lambda s, d: _pages(s, d).select("line_no", udfs.encoder(CODED)("line").alias("e")).select("line_no", udfs.decoder(CODED)("e.nbits", "e.payload").alias("line")),
+        q["decode_roundtrip"][1],
+    )
+    q["series_sorted_by_score"] = lambda s, d: _scores(_pages(s, d), 100).orderBy("score", "pat"), q["containment_score"][1]
     q["sanity_roundtrip"] = lambda s, d: codec.decode(codec.encode(s.createDataFrame([(1, SANITY)], schema.LINES), CODED), CODED), f"SELECT 1::BIGINT AS line_no, '{SANITY}' AS line"
     q["log_lines_topn"] = lambda s, d: _table(s, d, "events").groupBy("props").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "props").limit(20), "SELECT props, count(*)::BIGINT AS n FROM events GROUP BY props ORDER BY n DESC, props LIMIT 20"
     return q

@@ -3,6 +3,7 @@
 import pytest
 
 from strandex import schema
+from strandex.functions import udfs
 from strandex.operators import codec
 from strandex.plans import commands
 from strandex.plans import dictionary as plans
@@ -109,3 +110,12 @@ def test_streams(spark, built, tmp_path):
     run.processAllAvailable()
     run.stop()
     assert {(r["start"].minute, r["kgram"], r["n"]) for r in spark.table("grams").collect()} >= {(0, "ab", 4), (0, "ba", 2)}
+
+
+def test_functions(spark, urls, built):
+    assert udfs.crc32c_of(b"123456789") == 0xE3069283 and udfs.crc32c_of(b"") == 0
+    udfs.register(spark, built.coded())
+    urls.createOrReplaceTempView("urls")
+    row = spark.sql("SELECT count(*) AS n, sum(CAST(strandex_decode(e.nbits, e.payload) = line AS INT)) AS same, max(strandex_crc32c(line)) AS c FROM (SELECT line, strandex_encode(line) AS e FROM urls)").first()
+    assert row["n"] == row["same"] == len(URLS) and row["c"] < 2**32
+    assert spark.sql("SELECT strandex_encode(CAST(NULL AS STRING)).nbits AS n, strandex_crc32c(CAST(NULL AS STRING)) AS c").first().asDict() == {"n": None, "c": None}
