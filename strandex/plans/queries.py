@@ -259,9 +259,10 @@ SELECT str, freq, greatest(1, floor(h))::BIGINT AS code_len FROM walk WHERE ok""
     q["symbol_of_char"] = lambda s, d: _pages(s, d).select("line_no", F.posexplode(F.transform(F.filter(F.split("line", ""), lambda c: c != ""), lambda c: F.ascii(c))).alias("pos", "symbol")), f"WITH {PAGES_SQL} SELECT line_no, (generate_subscripts(c, 1) - 1)::INTEGER AS pos, ascii(unnest(c)) AS symbol FROM (SELECT line_no, string_split(line, '') AS c FROM u)"
     # Lookups
     built = lambda s, d: _pages(s, d).where(F.col("line").contains("/en/"))  # noqa: E731  one category of the pages; the others are misses
+    missed = lambda df: df.withColumn("value", F.coalesce("value", F.lit(-1)))  # noqa: E731  a miss is -1 here: no nullable numbers to compare
     table_sql = f"WITH {PAGES_SQL}, t AS (SELECT line, max(line_no) AS value FROM u WHERE contains(line, '/en/') GROUP BY line)"
-    q["lookup_plain"] = lambda s, d: lookup.plain(_pages(s, d), lookup.table(built(s, d))), f"{table_sql} SELECT line_no, line, value FROM u LEFT JOIN t USING (line)"
-    q["lookup_encoded"] = lambda s, d: lookup.encoded(_pages(s, d), lookup.encoded_table(built(s, d), CODED), CODED), f"{table_sql} SELECT line_no, value FROM u LEFT JOIN t USING (line)"
+    q["lookup_plain"] = lambda s, d: missed(lookup.plain(_pages(s, d), lookup.table(built(s, d)))), f"{table_sql} SELECT line_no, line, coalesce(value, -1) AS value FROM u LEFT JOIN t USING (line)"
+    q["lookup_encoded"] = lambda s, d: missed(lookup.encoded(_pages(s, d), lookup.encoded_table(built(s, d), CODED), CODED)), f"{table_sql} SELECT line_no, coalesce(value, -1) AS value FROM u LEFT JOIN t USING (line)"
     q["lookup_duplicates"] = lambda s, d: lookup.encoded(_parts(s, d), lookup.encoded_table(_parts(s, d), CODED), CODED), f"WITH {PARTS_SQL}, t AS (SELECT line, max(line_no) AS value FROM u GROUP BY line) SELECT line_no, value FROM u JOIN t USING (line)"
     q["lookup_misses"] = lambda s, d: lookup.misses(_pages(s, d), lookup.table(built(s, d))).select("line_no", "line"), f"{table_sql} SELECT line_no, line FROM u WHERE line NOT IN (SELECT line FROM t)"
     q["lookup_last_of"] = lambda s, d: lookup.last_of(_parts(s, d)).select("line_no", "line"), f"WITH {PARTS_SQL} SELECT max(line_no) AS line_no, line FROM u GROUP BY line"
