@@ -2,12 +2,14 @@
 
 Words of text and template (letters and digits, lower-cased) are aligned: equal words at both ends of a stretch match;
 words that occur once in both stretches are anchors; the longest run of anchors that rises in both is kept; the gaps
-between them are aligned in the same way. Coverage is the share of the template's words that match.
+between them are aligned in the same way; a stretch without anchors by a longest common subsequence. Coverage is the
+share of the template's words that match.
 
-A text may hold a notice more than once, and then its words are not unique. So a text is first cut, for each template,
-into regions: stretches around words of the template, a new one where more than the template's length lies between two
-of them or where one of the template's rarest words comes again. A template is aligned only where the text has enough
-of its words for the coverage asked for; that test never drops a match.
+A text may hold a notice more than once, or its words in other prose too, and then they are not unique. So a template is
+aligned in overlapping windows: its key words are its rarest, so many that a match of the coverage asked for can't miss
+all of them, and each key word in the text gives a window that fits the template closely and one that reaches twice the
+template's length to both sides. The whole text is aligned too. A template is aligned only where the text, and then the
+window, has enough of its words for the coverage asked for; those tests never drop a match.
 
 Everything happens in one pass over whole texts, a text at a time; nothing is shuffled. The templates are constants.
 
@@ -86,9 +88,36 @@ def align(a: list[str], b: list[str]) -> list[tuple[int, int]]:
             out += anchors
             ends = [(i - 1, k - 1), *anchors, (j, m)]
             todo += [(p + 1, r, q + 1, s) for (p, q), (r, s) in zip(ends, ends[1:], strict=False)]
+        else:
+            out += [(i + p, k + q) for p, q in _longest(a[i:j], b[k:m])]
     return sorted(out)
 
 
+def _longest(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """A longest common subsequence, the last one in a; one bit for each word of b."""
+    places: dict[str, int] = {}
+    for q, w in enumerate(b):
+        places[w] = places.get(w, 0) | 1 << q
+    full = (1 << len(b)) - 1
+    rows = [full]  # bit q of row p is 0 where b[q] makes the subsequence of a[:p] and b[: q + 1] longer
+    for w in a:
+        v = rows[-1]
+        u = v & places.get(w, 0)
+        rows.append((v + u | v - u) & full)
+    out = []
+    p, q = len(a), len(b) - 1
+    while p and q >= 0:
+        if rows[p] >> q & 1:
+            q -= 1
+        elif not rows[p - 1] >> q & 1:
+            p -= 1
+        else:
+            p -= 1
+            out.append((p, q))
+            q -= 1
+    return out[::-1]
+
+
 def _rising(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """The longest subsequence whose second entries rise, by patience piles."""
     tops: list[int] = []
@@ -115,45 +144,50 @@ class Scanner:
         self.templates = [(name, words(text)) for name, text in sorted(templates.items())]
         seen = Counter(w for _, t in self.templates for w in set(t))
         self.counts = [Counter(t) for _, t in self.templates]
-        self.rare = [{w for w in t if self.counts[n][w] == 1 and seen[w] == min(seen[v] for v in t)} for n, (_, t) in enumerate(self.templates)]
+        self.keys = [self._keys(n, seen) for n in range(len(self.templates))]
         self.all = frozenset(seen)
 
+    def _keys(self, n: int, seen: Counter) -> dict[str, list[int]]:
+        """The places of the template's rarest words (in the fewest templates, then the longest), so many that a match has one of them."""
+        template = self.templates[n][1]
+        left = len(template) - self.coverage * len(template)
+        keys: dict[str, list[int]] = {}
+        for w in sorted(self.counts[n], key=lambda w: (seen[w], -len(w), w)):
+            keys[w] = [q for q, v in enumerate(template) if v == w]
+            left -= len(keys[w])
+            if left < -1e-9:
+                break
+        return keys
+
     def __call__(self, text: str) -> list[tuple[str, float, int, int, int]]:
-        """(template, coverage, first word, end word, template words) of each template's best region, best first."""
+        """(template, coverage, first word, end word, template words) of each template's best match, best first."""
         have = words(text)
         shared = self.all.intersection(have)
         found = []
         for n, (name, template) in enumerate(self.templates):
-            need = self.coverage * len(template)
+            need = self.coverage * len(template) - 1e-9
             if sum(c for w, c in self.counts[n].items() if w in shared) < need:
                 continue
             best = None
-            for begin, end in self.regions(have, n):
-                if end - begin >= need:
-                    pairs = align(have[begin:end], template)
-                    if pairs and (best is None or len(pairs) > best[0]):
-                        best = len(pairs), begin + pairs[0][0], begin + pairs[-1][0] + 1
+            for begin, end in self.windows(have, n, need):
+                pairs = align(have[begin:end], template)
+                if pairs:
+                    match = len(pairs), pairs[0][0] - pairs[-1][0], -begin - pairs[0][0]
+                    best = match if best is None else max(best, match)
             if best and best[0] >= need:
-                found.append((name, best[0] / len(template), best[1], best[2], len(template)))
+                found.append((name, best[0] / len(template), -best[2], 1 - best[1] - best[2], len(template)))
         return sorted(found, key=lambda f: (-f[1], -f[4], f[0]))
 
-    def regions(self, have: list[str], n: int) -> list[tuple[int, int]]:
-        own, rare, reach = self.counts[n], self.rare[n], len(self.templates[n][1])
-        out: list[list[int]] = []
-        met: set[str] = set()
+    def windows(self, have: list[str], n: int, need: float) -> list[tuple[int, int]]:
+        """Stretches of the text with enough of the template's words: around each key word, and the whole text."""
+        keys, own, size = self.keys[n], self.counts[n], len(self.templates[n][1])
+        slack = size // 4 + 1
+        out = {(0, len(have))}
         for at, w in enumerate(have):
-            if w in own:
-                if not out or at - out[-1][1] > reach or w in met:
-                    if out and w in met:  # a notice may begin before its rare word: look back, but not into the last rare one
-                        out.append([max(out[-1][2] + 1, at - reach), at + 1, at])
-                    else:
-                        out.append([at, at + 1, -1])
-                    met = set()
-                out[-1][1] = at + 1
-                if w in rare:
-                    met.add(w)
-                    out[-1][2] = at
-        return [(b, e) for b, e, _ in out]
+            for q in keys.get(w, ()):
+                out.add((max(at - q - slack, 0), min(at - q + size + slack, len(have))))
+                out.add((max(at - 2 * size, 0), min(at + 2 * size, len(have))))
+        return [(b, e) for b, e in sorted(out) if sum(min(c, own[w]) for w, c in Counter(have[b:e]).items() if w in own) >= need]
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
