@@ -1,9 +1,9 @@
 """Toxicity by the nearest labelled examples, exact in TF-IDF cosine, through block-max inverted lists.
 
 Fitting takes a bounded sample of labelled rows (`examples` of each class, those with the least hash of their id).
-Terms are whole words and word beginnings of 4 to 7 letters; the vocabulary is the terms that toxic examples have far
-more often than clean ones (log-likelihood ratio, support and lift below), at most `TERMS` of them. An example is its
-TF-IDF vector over the vocabulary, and one entry for the rest of its text (REST, times 1 + log of its length in thousand
+Terms are whole words and word beginnings of 4 to 7 letters; the vocabulary is all terms that toxic examples have far
+more often than clean ones (log-likelihood ratio, support and lift below, the same for any size of input), less those
+that a better beginning in it matches too: " hate" stands for " hateful ", but " hate " doesn't. An example is its TF-IDF vector over the vocabulary, and one entry for the rest of its text (REST, times 1 + log of its length in thousand
 characters), of unit length: so one term in a long text is far from the same term many times in a short one. Each term's list holds (example, weight) in blocks of BLOCK
 examples with each block's largest weight, so a query adds up an upper bound for each block, opens blocks from the
 highest bound down, and stops when no bound reaches the k-th similarity found: the neighbours are exact. Of equal
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from strandex.llm.common import cut
 
-TERMS, SUPPORT, LIFT, RATIO = 256, 3, 6.0, 12.0
+SUPPORT, LIFT, RATIO = 3, 6.0, 12.0
 REST = 4.0
 BEGINNINGS = range(4, 8)
 BLOCK = 64
@@ -71,15 +71,11 @@ def select_terms(table: list[tuple[str, int, int]], toxic: int, clean: int) -> l
             total += rest * math.log(rest / (of - expected)) if rest else 0.0
         return total
 
-    support = max(SUPPORT, toxic // 200)
-    ranked = sorted((-ratio(a, b), -len(t), t) for t, a, b in table if a >= support and (a + 0.5) / (toxic + 1) >= LIFT * (b + 0.5) / (clean + 1) and ratio(a, b) >= RATIO)
-    chosen: list[str] = []
+    ranked = sorted((-ratio(a, b), -len(t), t) for t, a, b in table if a >= SUPPORT and (a + 0.5) / (toxic + 1) >= LIFT * (b + 0.5) / (clean + 1) and ratio(a, b) >= RATIO)
+    chosen: set[str] = set()
     for *_, term in ranked:
-        word = term.rstrip(" ")
-        if not any(word.startswith(c.rstrip(" ")) or c.startswith(word) for c in chosen):
-            chosen.append(term)
-        if len(chosen) == TERMS:
-            break
+        if not any(term[:n] in chosen for n in range(1, len(term) + 1)):
+            chosen.add(term)
     return sorted(chosen)
 
 
@@ -188,8 +184,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str =
     of = {bool(r["label"]): r["n"] for r in rows.groupBy((F.col("label") == 1).alias("label")).agg(F.count("*").alias("n")).collect()}
     toxic, clean = of.get(True, 0), of.get(False, 0)
     summed = rows.mapInArrow(candidates, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    often = summed.where((F.col("a") >= max(SUPPORT, toxic // 200)) & ((F.col("a") + 0.5) / (toxic + 1) >= LIFT * (F.col("b") + 0.5) / (clean + 1)))
-    terms = select_terms([tuple(r) for r in often.orderBy(F.desc(F.col("a") - F.col("b")), "term").limit(40 * TERMS).collect()], toxic, clean) if toxic else []
+    often = summed.where((F.col("a") >= SUPPORT) & ((F.col("a") + 0.5) / (toxic + 1) >= LIFT * (F.col("b") + 0.5) / (clean + 1)))
+    terms = select_terms([tuple(r) for r in often.collect()], toxic, clean) if toxic else []
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counts(terms)
