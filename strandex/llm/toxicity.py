@@ -1,47 +1,48 @@
 """Toxicity by the nearest labelled examples, exact in TF-IDF cosine, through block-max inverted lists.
 
-Fitting takes a bounded sample of labelled rows (`examples` of each class, those with the least hash of their id).
-Terms are whole words and word beginnings of 4 to 7 letters; the vocabulary is all terms that toxic examples have far
-more often than clean ones (log-likelihood ratio, support and lift below, the same for any size of input), less those
-that a better beginning in it matches too: " hate" stands for " hateful ", but " hate " doesn't. An example is its TF-IDF vector over the vocabulary, and one entry for the rest of its text (REST, times 1 + log of its length in thousand
-characters), of unit length: so one term in a long text is far from the same term many times in a short one. Each term's list holds (example, weight) in blocks of BLOCK
-examples with each block's largest weight, so a query adds up an upper bound for each block, opens blocks from the
-highest bound down, and stops when no bound reaches the k-th similarity found: the neighbours are exact. Of equal
-similarities the example first in the index counts.
-
-A neighbour votes with its similarity times its class's weight in all labelled rows, and `PRIOR` of a vote is the rate
-among examples without any term; so scores are calibrated rates. Texts without a term get that rate. The ids and labels
-of the nearest examples are the evidence.
-
-The index is a constant size and goes out with the task; scoring reads whole texts once and shuffles nothing.
-
-Defined results: null and empty texts have no terms; several labels of one id count as the largest; null labels and ids
-are left out of fitting; without toxic examples every score is 0; equal texts get equal scores; other columns are
-ignored.
+Fitting takes a bounded sample of labelled rows (`examples` of each class, those with the least hash of their id). Every
+word of every example is a term; a word is a run of letters, lower-cased. A term weighs (1 + log tf) * idf * rf ** LEAN,
+where rf, the relevance frequency log2(2 + toxic / clean examples with the term), is 1 for a term that only clean examples
+or none have: so every term counts and those that mark the class count more. A text's vector has all its words, unknown
+ones too, and unit length.
+
+Examples are numbered so that like ones are neighbours, and cut into blocks of BLOCK. Each term's list has an entry for
+each block that holds it: the block's largest value and its postings (example, value). A query adds up an upper bound for
+each block, opens blocks from the highest bound down, and stops when no bound reaches the k-th similarity found: the
+neighbours are exact. Of equal similarities the example first in the index counts.
+
+A neighbour votes with its similarity times its class's weight in all labelled rows. The share of toxic votes becomes a
+rate by a logistic curve in its log-odds, fitted on the votes that the examples themselves get with each left out. Texts
+without a neighbour get the rate of all labelled rows. The ids, labels and similarities of the nearest are the evidence.
+
+The index is of bounded size, whatever the table; its arrays are broadcast, terms as 64-bit hashes. Scoring reads whole
+texts once and shuffles nothing.
+
+Defined results: null and empty texts have no words; several labels of one id count as the largest, several texts of one
+labelled id as the least; null labels and ids are left out of fitting; without toxic examples every score is 0, without
+clean ones 1; equal texts get equal scores; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandex.llm.common import cut
 
-SUPPORT, LIFT, RATIO = 3, 6.0, 12.0
-REST = 4.0
-BEGINNINGS = range(4, 8)
-BLOCK = 64
-NEIGHBOURS = 15
-PRIOR = 0.5
+#: Chosen by two-fold cross-validation inside the rows that may be learnt from (README).
+LEAN, NEIGHBOURS = 3, 31
+BLOCK = 32
+#: Blocks opened at once; results don't depend on it.
+OPENED = 8
 LETTERS = re.compile(r"[^\W\d_]+")
-GAPS = re.compile(r"[\W\d_]+")
 
 
 def held_out(doc_id: Column) -> Column:
@@ -49,163 +50,199 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "utf-8")) % 3 == 1, F.lit(False))
 
 
-def terms_of(text: str) -> set[str]:
-    """Candidate terms of a text: " word " and " beginn"."""
-    found = set()
-    for word in set(LETTERS.findall(text.lower())):
-        if len(word) >= 3:
-            found.add(f" {word} ")
-            found.update(f" {word[:n]}" for n in BEGINNINGS if n < len(word))
-    return found
+def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of a text's words, in order, and how often each stands in it."""
+    counts = Counter(LETTERS.findall((text or "").lower()))
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in counts), np.uint64, len(counts))
+    order = np.argsort(hashes)
+    return hashes[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
 
 
-def select_terms(table: list[tuple[str, int, int]], toxic: int, clean: int) -> list[str]:
-    """The vocabulary from (term, toxic examples with it, clean examples with it)."""
-
-    def ratio(a: int, b: int) -> float:
-        total = 0.0
-        for have, of in ((a, toxic), (b, clean)):
-            expected = of * (a + b) / (toxic + clean)
-            total += have * math.log(have / expected) if have else 0.0
-            rest = of - have
-            total += rest * math.log(rest / (of - expected)) if rest else 0.0
-        return total
-
-    ranked = sorted((-ratio(a, b), -len(t), t) for t, a, b in table if a >= SUPPORT and (a + 0.5) / (toxic + 1) >= LIFT * (b + 0.5) / (clean + 1) and ratio(a, b) >= RATIO)
-    chosen: set[str] = set()
-    for *_, term in ranked:
-        if not any(term[:n] in chosen for n in range(1, len(term) + 1)):
-            chosen.add(term)
-    return sorted(chosen)
-
-
-class Counts:
-    """How often each vocabulary term stands in a text, and the text's length."""
-
-    def __init__(self, terms: list[str]):
-        import ahocorasick
-
-        self.automaton = ahocorasick.Automaton()
-        for k, term in enumerate(terms):
-            self.automaton.add_word(term, k)
-        if terms:
-            self.automaton.make_automaton()
-        self.any = bool(terms)
-
-    def __call__(self, text: str | None) -> tuple[tuple[tuple[int, int], ...], int]:
-        if not text or not self.any:
-            return (), len(text or "")
-        return tuple(sorted(Counter(k for _, k in self.automaton.iter(f" {GAPS.sub(' ', text.lower())} ")).items())), len(text)
+def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """All numbers of the ranges, one range after the other."""
+    length = end - begin
+    return np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum()) if len(begin) else np.zeros(0, np.int64)
 
 
 class Index:
-    """Block-max inverted lists of examples [(id, label, counts, length)]; `rates`: how many labelled rows an example of each class stands for."""
-
-    def __init__(self, n_terms: int, examples: list[tuple[int, int, tuple, int]], rates: tuple[float, float], neighbours: int = NEIGHBOURS):
-        self.n, self.k = len(examples), neighbours
-        with_term = np.zeros(n_terms)
-        for _, _, counts, _ in examples:
-            for t, _ in counts:
-                with_term[t] += 1
-        self.rest, n_terms = n_terms, n_terms + 1
-        self.idf = np.log((1 + self.n) / (1 + with_term)) + 1
-        weight = lambda labels: np.where(labels == 1, rates[1], rates[0])
-        labels = np.array([label for _, label, _, _ in examples], dtype=np.int64)
-        empty = np.array([not e[2] for e in examples], dtype=bool)
-        total = weight(labels)[empty].sum()
-        toxic = rates[1] * (labels[empty] == 1).sum()
-        self.base = float(toxic / total) if total else float(rates[1] * (labels == 1).sum() / max(weight(labels).sum(), 1e-9)) if self.n else 0.0
-        kept = sorted(examples, key=lambda e: (e[2], e[3], e[0]))  # like with like, so that blocks differ
-        self.ids, self.labels = [e[0] for e in kept], np.array([e[1] for e in kept], dtype=np.int64)
-        self.weight = weight(self.labels)
-        self.blocks = -(-len(kept) // BLOCK)
-        self.most = np.zeros((n_terms, self.blocks))
-        lists: list[list[tuple[int, float]]] = [[] for _ in range(n_terms)]
-        for at, (_, _, counts, length) in enumerate(kept):
-            for t, v in self.vector(counts, length):
-                lists[t].append((at, v))
-                self.most[t, at // BLOCK] = max(self.most[t, at // BLOCK], v)
-        self.at = [np.array([a for a, _ in x], dtype=np.int64) for x in lists]
-        self.value = [np.array([v for _, v in x]) for x in lists]
-        self.begin = [np.searchsorted(a, np.arange(self.blocks + 1) * BLOCK) for a in self.at]
-
-    def vector(self, counts: tuple, length: int) -> list[tuple[int, float]]:
-        raw = [(t, (1 + math.log(n)) * self.idf[t]) for t, n in counts] + [(self.rest, REST * (1 + math.log1p(length / 1000)))]
-        norm = math.sqrt(sum(v * v for _, v in raw))
-        return [(t, v / norm) for t, v in raw]
-
-    def nearest(self, counts: tuple, length: int) -> list[tuple[float, int]]:
-        """The (similarity, place) of the k nearest examples of positive similarity, nearest first."""
-        query = self.vector(counts, length)
-        bound = sum((v * self.most[t] for t, v in query), np.zeros(self.blocks))
-        best: list[tuple[float, int]] = []
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(best) == self.k and bound[b] < best[-1][0] - 1e-9:
+    """Block-max inverted lists of examples [(id, label, hashes, counts)]; `rates`: how many labelled rows an example of each class stands for."""
+
+    def __init__(self, examples: list[tuple[int, int, np.ndarray, np.ndarray]], rates: tuple[float, float] = (1.0, 1.0), neighbours: int = NEIGHBOURS, block: int = BLOCK):
+        self.n, self.k, self.block = len(examples), neighbours, block
+        none = [np.zeros(0, np.uint64)]
+        every = np.concatenate([e[2] for e in examples] + none)
+        self.terms, number = np.unique(every, return_inverse=True)
+        owner = np.repeat(np.arange(self.n), [len(e[2]) for e in examples])
+        tf = 1 + np.log(np.concatenate([e[3] for e in examples] + [np.zeros(0, np.int64)]))
+        label = np.array([e[1] for e in examples], dtype=np.int64)
+        n_toxic, n_clean = max(int(label.sum()), 1), max(int((1 - label).sum()), 1)
+        having = np.bincount(number, minlength=len(self.terms))
+        toxic = np.bincount(number, label[owner], minlength=len(self.terms))
+        clean = (having - toxic) * (n_toxic / n_clean)
+        self.weight = ((np.log((1 + self.n) / (1 + having)) + 1) * np.log2(2 + toxic / np.maximum(clean, 1)) ** LEAN).astype(np.float32)
+        self.unknown = np.float32(np.log(1 + self.n) + 1)
+        value = tf * self.weight[number]
+        value = value / np.sqrt(np.bincount(owner, value * value, minlength=self.n))[owner] if len(value) else value
+        place = self._places(examples, number, owner, value, having)
+        kept = np.argsort(place)
+        self.ids, self.labels = [examples[j][0] for j in kept], label[kept]
+        self.votes = np.where(self.labels == 1, rates[1], rates[0])
+        total = self.votes.sum()
+        self.base = float(self.votes[self.labels == 1].sum() / total) if total else 0.0
+        self.curve = (0.0, 1.0)
+        # postings by term and example; an entry is a term's postings in one block
+        at = place[owner]
+        order = np.lexsort((at, number))
+        self.at, self.value, number = at[order].astype(np.int32), value[order].astype(np.float32), number[order]
+        blocks = self.at // block
+        new = np.ones(len(order), dtype=bool)
+        new[1:] = (number[1:] != number[:-1]) | (blocks[1:] != blocks[:-1])
+        begin = np.nonzero(new)[0]
+        self.begin = np.append(begin, len(order)).astype(np.int32)
+        self.in_block = blocks[begin].astype(np.int32)
+        self.most = np.maximum.reduceat(self.value, begin) if len(begin) else self.value[:0]
+        self.entries = np.searchsorted(number[begin], np.arange(len(self.terms) + 1)).astype(np.int32)
+        self.blocks = -(-self.n // block)
+
+    def _places(self, examples, number, owner, value, having) -> np.ndarray:
+        """The place of each example: by class, the commonest words it has, its heaviest word of several examples, and id."""
+        common = np.argsort(-having, kind="stable")[:24]
+        has = np.zeros((self.n, len(common)), dtype=np.int8)
+        for c, t in enumerate(common):
+            has[owner[number == t], c] = 1
+        shared = np.nonzero(having[number] > 1)[0]
+        order = shared[np.lexsort((number[shared], value[shared], owner[shared]))]
+        heaviest = np.full(self.n, -1, dtype=np.int64)
+        heaviest[owner[order]] = number[order]  # the last of an owner is the heaviest
+        keys = [(-e[1], heaviest[j] if e[1] else -1, tuple(-has[j]), heaviest[j], j) for j, e in enumerate(examples)]
+        ranked = sorted(range(self.n), key=lambda j: (*keys[j][:4], str(examples[j][0]), j))
+        place = np.empty(self.n, dtype=np.int64)
+        place[ranked] = np.arange(self.n)
+        return place
+
+    def vector(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the known terms, their values in the text's unit vector)."""
+        if not len(hashes):
+            return np.zeros(0, np.int64), np.zeros(0)
+        found = np.searchsorted(self.terms, hashes)
+        found[found == len(self.terms)] = 0
+        known = self.terms[found] == hashes if len(self.terms) else np.zeros(len(hashes), dtype=bool)
+        value = (1 + np.log(counts)) * np.where(known, self.weight[found] if len(self.terms) else 0, self.unknown)
+        value /= np.sqrt((value * value).sum())
+        return found[known], value[known]
+
+    def nearest(self, hashes: np.ndarray, counts: np.ndarray, but=None) -> list[tuple[float, int]]:
+        """The (similarity, place) of the k nearest examples of positive similarity, nearest first; `but`: an id that doesn't count."""
+        term, query = self.vector(hashes, counts)
+        entry = _ranges(self.entries[term], self.entries[term + 1])
+        if not len(entry):
+            return []
+        weight = np.repeat(query, self.entries[term + 1] - self.entries[term])
+        own = self.in_block[entry]
+        bound = np.bincount(own, weight * self.most[entry], minlength=self.blocks)
+        order = np.argsort(-bound, kind="stable")
+        total, least, begin, size = np.zeros(self.n), 0.0, 0, OPENED
+        skipped = [j for j, i in enumerate(self.ids) if i == but] if but is not None else []
+        while begin < self.blocks:
+            chosen = order[begin : begin + size]
+            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-6)]
+            if not len(chosen):
                 break
-            total = np.zeros(BLOCK)
-            for t, v in query:
-                s, e = self.begin[t][b], self.begin[t][b + 1]
-                total[self.at[t][s:e] - b * BLOCK] += v * self.value[t][s:e]
-            best += [(round(float(total[j]), 12), int(b) * BLOCK + int(j)) for j in np.nonzero(total > 0)[0]]
-            best = sorted(best, key=lambda x: (-x[0], x[1]))[: self.k]
-        return best
-
-    def score(self, counts: tuple, length: int) -> tuple[float, str | None]:
+            opened = np.zeros(self.blocks, dtype=bool)
+            opened[chosen] = True
+            here = opened[own]
+            e = entry[here]
+            postings = _ranges(self.begin[e], self.begin[e + 1])
+            total += np.bincount(self.at[postings], np.repeat(weight[here], self.begin[e + 1] - self.begin[e]) * self.value[postings], minlength=self.n)
+            total[skipped] = 0
+            if np.count_nonzero(total) >= self.k:
+                least = float(np.partition(total, -self.k)[-self.k])
+            begin, size = begin + size, 2 * size
+        total = np.round(total, 9)
+        found = np.nonzero(total > 0)[0] if least <= 0 else np.nonzero(total >= round(least, 9))[0]
+        return [(float(total[j]), int(j)) for j in found[np.lexsort((found, -total[found]))][: self.k]]
+
+    def vote(self, near: list[tuple[float, int]]) -> float:
+        """The toxic share of the neighbours' votes."""
+        votes = [(s * self.votes[at], self.labels[at]) for s, at in near]
+        return sum(v for v, label in votes if label) / sum(v for v, _ in votes)
+
+    def calibrate(self, votes: list[tuple[float, int]]) -> None:
+        """Fit the curve from (vote, label) of examples that were left out, each weighing as many rows as it stands for."""
+        x = np.array([_log_odds(v, self.base) for v, _ in votes])
+        y = np.array([label for _, label in votes], dtype=float)
+        if not len(y) or y.min() == y.max():
+            return
+        w = np.where(y == 1, self.votes[self.labels == 1][0], self.votes[self.labels == 0][0])
+        design, beta = np.stack([np.ones(len(x)), x], axis=1), np.array([0.0, 1.0])
+        for _ in range(50):  # Newton's steps, with a weak pull to the identity
+            p = 1 / (1 + np.exp(-(design @ beta)))
+            slope = design.T @ (w * (p - y)) + (beta - (0.0, 1.0))
+            step = np.linalg.solve((design * (w * p * (1 - p))[:, None]).T @ design + np.eye(2), slope)
+            beta = beta - np.clip(step, -1, 1)
+        self.curve = (float(beta[0]), float(beta[1]))
+
+    def score(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[float, str | None]:
         """Score and evidence of one text."""
-        if not counts or not self.n:
+        if self.base in (0.0, 1.0):
             return self.base, None
-        near = self.nearest(counts, length)
-        votes = sum(s * self.weight[at] for s, at in near)
-        toxic = sum(s * self.weight[at] for s, at in near if self.labels[at])
-        mean = PRIOR * votes / len(near)
+        near = self.nearest(hashes, counts)
+        if not near:
+            return self.base, None
+        a, b = self.curve
         evidence = " ".join(f"{self.ids[at]}:{self.labels[at]}:{s:.3f}" for s, at in near[:3])
-        return float((toxic + mean * self.base) / (votes + mean)), evidence
+        return float(1 / (1 + np.exp(-(a + b * _log_odds(self.vote(near), self.base))))), evidence
+
 
+def _log_odds(vote: float, base: float) -> float:
+    """Log-odds of a vote, drawn a little to the base rate so that votes of 0 and 1 have some."""
+    p = (vote + 0.02 * base) / 1.02
+    return float(np.log(p / (1 - p)))
 
-def fit(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> tuple[list[str], Index]:
-    """Vocabulary and index from a bounded sample of rows that are not held out."""
+
+def fit(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Index:
+    """The index of a bounded sample of rows that are not held out, with its curve."""
     known = labels.select(labels[id_col].alias("id"), labels[label_col].cast("int").alias("label")).where("id is not null and label is not null").where(~held_out(F.col("id"))).groupBy("id").agg(F.max("label").alias("label"))
     known = cut(known)
     sample = known.where("label = 1").orderBy(F.xxhash64("id"), "id").limit(examples).union(known.where("label <> 1").orderBy(F.xxhash64("id"), "id").limit(examples))
     all_of = {bool(r["label"]): r["n"] for r in known.groupBy((F.col("label") == 1).alias("label")).agg(F.count("*").alias("n")).collect()}
     texts = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    rows = cut(texts.join(F.broadcast(sample), "id").select("id", "label", "text"))  # the sample has 2 * examples ids at most
-
-    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            count = (Counter(), Counter())
-            for label, text in zip(b.column(1).to_pylist(), b.column(2), strict=True):
-                count[label == 1].update(terms_of(text.as_py() or ""))
-            have = list(count[1])
-            yield pa.RecordBatch.from_arrays([pa.array(have, pa.string()), pa.array([count[1][t] for t in have], pa.int64()), pa.array([0] * len(have), pa.int64())], ["term", "a", "b"])
-            have = list(count[0])
-            yield pa.RecordBatch.from_arrays([pa.array(have, pa.string()), pa.array([0] * len(have), pa.int64()), pa.array([count[0][t] for t in have], pa.int64())], ["term", "a", "b"])
-
-    of = {bool(r["label"]): r["n"] for r in rows.groupBy((F.col("label") == 1).alias("label")).agg(F.count("*").alias("n")).collect()}
-    toxic, clean = of.get(True, 0), of.get(False, 0)
-    summed = rows.mapInArrow(candidates, "term string, a long, b long").groupBy("term").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    often = summed.where((F.col("a") >= SUPPORT) & ((F.col("a") + 0.5) / (toxic + 1) >= LIFT * (F.col("b") + 0.5) / (clean + 1)))
-    terms = select_terms([tuple(r) for r in often.collect()], toxic, clean) if toxic else []
+    rows = cut(texts.join(F.broadcast(sample), "id").groupBy("id").agg(F.max("label").alias("label"), F.min("text").alias("text")))  # 2 * examples ids at most
+    kind = rows.schema["id"].dataType.simpleString()
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(terms)
         for b in batches:
-            found = [counts(t.as_py()) for t in b.column(2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([[list(x) for x in c] for c, _ in found], pa.list_(pa.list_(pa.int32()))), pa.array([n for _, n in found], pa.int64())], ["id", "label", "counts", "length"])
-
-    kind = rows.schema["id"].dataType.simpleString()
-    found = [(r["id"], int(r["label"] == 1), tuple((int(t), int(n)) for t, n in r["counts"]), r["length"]) for r in rows.mapInArrow(vectors, f"id {kind}, label int, counts array<array<int>>, length long").collect()]
-    rates = all_of.get(False, 0) / max(clean, 1), all_of.get(True, 0) / max(toxic, 1)
-    return terms, Index(len(terms), found, rates)
-
-
-def score(docs: DataFrame, terms: list[str], index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
+            found = [terms_of(t.as_py()) for t in b.column(2)]
+            packed = [pa.array([f[k].tobytes() for f in found], pa.binary()) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *packed], ["id", "label", "hashes", "counts"])
+
+    taken = rows.mapInArrow(vectors, f"id {kind}, label int, hashes binary, counts binary").collect()
+    found = [(r["id"], int(r["label"] == 1), np.frombuffer(r["hashes"], np.uint64), np.frombuffer(r["counts"], np.int64)) for r in sorted(taken, key=lambda r: r["id"])]
+    toxic = sum(label for _, label, *_ in found)
+    index = Index(found, (all_of.get(False, 0) / max(len(found) - toxic, 1), all_of.get(True, 0) / max(toxic, 1)))
+    if index.base not in (0.0, 1.0):
+        sent = docs.sparkSession.sparkContext.broadcast(index)
+
+        def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = sent.value
+            for b in batches:
+                near = [own.nearest(*terms_of(t.as_py()), but=i) for i, t in zip(b.column(0).to_pylist(), b.column(2), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([own.vote(x) if x else None for x in near], pa.float64()), b.column(1)], ["vote", "label"])
+
+        votes = rows.mapInArrow(left_out, "vote double, label int").where("vote is not null").orderBy("vote", "label").collect()
+        index.calibrate([(r["vote"], int(r["label"] == 1)) for r in votes])
+        sent.destroy()
+    return index
+
+
+def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """(id, held_out, score, predicted: 1 from the threshold on, evidence: id:label:similarity of the nearest examples)."""
+    sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(terms)
+        own = sent.value
         for b in batches:
-            found = [index.score(*counts(t.as_py())) for t in b.column(1)]
+            found = [own.score(*terms_of(t.as_py())) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())], ["id", "score", "evidence"])
 
     scored = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double, evidence string")
@@ -214,17 +251,17 @@ def score(docs: DataFrame, terms: list[str], index: Index, id_col: str = "doc_id
 
 def judge(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """Fit on the labelled rows that are not held out, and score every whole text."""
-    return score(docs, *fit(docs, labels, examples, id_col, text_col), id_col, text_col, threshold)
+    return score(docs, fit(docs, labels, examples, id_col, text_col), id_col, text_col, threshold)
 
 
 def keep(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str = "doc_id", text_col: str = "text", threshold: float = 0.7) -> DataFrame:
     """The rows that are not predicted to be toxic, with all their columns."""
-    terms, index = fit(docs, labels, examples, id_col, text_col)
+    sent = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, examples, id_col, text_col))
     place = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counts(terms)
+        own = sent.value
         for b in batches:
-            yield b.filter(pa.array([index.score(*counts(t.as_py()))[0] < threshold for t in b.column(place)], pa.bool_()))
+            yield b.filter(pa.array([own.score(*terms_of(t.as_py()))[0] < threshold for t in b.column(place)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

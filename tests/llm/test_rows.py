@@ -181,20 +181,6 @@ def test_held_out_labels_are_never_used(spark):
     assert one == other
 
 
-def test_neighbours_are_exact():
-    import random
-
-    r = random.Random(2)
-    examples = [(i, r.randint(0, 1), tuple(sorted({t: r.randint(1, 4) for t in r.sample(range(12), r.randint(0, 5))}.items())), r.randint(10, 9000)) for i in range(700)]
-    index = toxicity.Index(12, examples, (3.0, 1.0))
-    vectors = [dict(index.vector(c, n)) for _, _, c, n in sorted(examples, key=lambda e: (e[2], e[3], e[0]))]
-    for _ in range(60):
-        counts, length = tuple(sorted({t: r.randint(1, 4) for t in r.sample(range(12), r.randint(1, 5))}.items())), r.randint(10, 9000)
-        q = dict(index.vector(counts, length))
-        brute = sorted(((round(sum(v * x.get(t, 0) for t, v in q.items()), 9), -k) for k, x in enumerate(vectors)), reverse=True)[: index.k]
-        assert [round(s, 9) for s, _ in index.nearest(counts, length)] == [s for s, _ in brute]
-
-
 def test_toxicity_odd(spark, odd, nothing):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert {r["score"] for r in toxicity.judge(odd, none).collect()} == {0.0}
