@@ -31,6 +31,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def column(df: DataFrame, name: str) -> Column:
+    """A column by its whole name, which may hold dots and backticks."""
+    return df["`" + name.replace("`", "``") + "`"]
+
+
 def words_of(text: Column) -> Column:
     """Array of the words of a text; a null text has none."""
     return F.filter(F.split(F.coalesce(text, F.lit("")), SPACE), lambda w: w != "")

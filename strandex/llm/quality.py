@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from strandex.llm.common import words_of
+from strandex.llm.common import column, words_of
 
 SYMBOLS = r"[^#*$%&|<>]+"
 WINDOW = 5
@@ -110,7 +110,7 @@ def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", table
 
 def keep(docs: DataFrame, text_col: str = "text", table: list[tuple[str, str, int, str, int]] = TABLE) -> DataFrame:
     """The rows that are kept, with all their columns."""
-    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("__row"), docs[text_col].alias("__text"))
+    rows = docs.select(F.struct(*(column(docs, c) for c in docs.columns)).alias("__row"), column(docs, text_col).alias("__text"))
     judged = judge(rows, "__row", "__text", table)
     # Not where(): it would be pushed below the projections, and each count would be computed again at every mention.
     return judged.select(F.explode(F.when(F.col("kept"), F.array("__row"))).alias("__row")).select("__row.*")

@@ -229,8 +229,8 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str =
                 near = [own.nearest(*terms_of(t.as_py()), but=i) for i, t in zip(b.column(0).to_pylist(), b.column(2), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([own.vote(x) if x else None for x in near], pa.float64()), b.column(1)], ["vote", "label"])
 
-        votes = rows.mapInArrow(left_out, "vote double, label int").where("vote is not null").orderBy("vote", "label").collect()
-        index.calibrate([(r["vote"], int(r["label"] == 1)) for r in votes])
+        votes = rows.mapInArrow(left_out, "vote double, label int").where("vote is not null").collect()
+        index.calibrate(sorted((r["vote"], int(r["label"] == 1)) for r in votes))
         sent.destroy()
     return index
 

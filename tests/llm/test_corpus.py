@@ -8,7 +8,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from strandex.llm import packing, simhash, substring_dedup, winnowing
+from strandex.llm import packing, quality, simhash, substring_dedup, winnowing
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -117,6 +117,65 @@ def test_substring_dedup_texts_and_paths(docs, rows):
     assert covered == {d: {k for k, g in enumerate(gone) if g} for d, (_, gone) in want.items()}
 
 
+def steps_here(parts, buckets=2, window=4, minimizer=2):
+    """The steps of the operator one after the other in this process, over parts of rows (id, text): (found, told)."""
+    import pyarrow as pa
+
+    sub = substring_dedup
+    docs = [pa.table({"__part": pa.array([p] * len(rows), pa.int32()), "__id": pa.array([i for i, _ in rows], pa.int64()), "__text": pa.array([t for _, t in rows], pa.string())}) for p, rows in enumerate(parts)]
+    gather = lambda tables, key: {k: (t := pa.concat_tables(tables)).filter(pa.array([v == k for v in t.column(key).to_pylist()])) for k in {v for t in tables for v in t.column(key).to_pylist()}}
+    seen = gather([sub._answer_minimizers(t) for t in gather([sub._send_minimizers(d, buckets, window, minimizer) for d in docs], "bucket").values()], "part")
+    none = sub._rows([], sub.ANSWER)
+    edges = gather([sub._answer_edges(t) for t in gather([sub._send_edges(d, seen.get(p, none), buckets, window, minimizer) for p, d in enumerate(docs)], "bucket").values()], "part")
+    compacted = [sub._compact(d, edges[p], buckets, window, minimizer) for p, d in enumerate(docs)]
+    asked = gather(compacted, "to")
+    told = gather([sub._verify(d, asked[p]) for p, d in enumerate(docs)], "to")
+    return compacted, told, [sub._finish(d, told[p], "paths", []).to_pylist() for p, d in enumerate(docs)]
+
+
+def test_paths_are_compacted_and_verified():
+    text = "a b c d e f g h"
+    _, _, found = steps_here([[(1, "x y z " + text)], [(5, text + " tail"), (7, "q " + text + " r")]])
+    want = [{"doc_id": 5, "start": 0, "words": 8, "source_doc_id": 1, "source_start": 3}, {"doc_id": 7, "start": 1, "words": 8, "source_doc_id": 1, "source_start": 3}]
+    assert found == [[], want]
+
+
+def test_a_part_asks_for_a_path_once_however_many_copies_it_has():
+    text = "a b c d e f g h"
+    compacted, _, found = steps_here([[(0, text)], [(k, text) for k in range(1, 50)]])
+    asked = [r for t in compacted for r in t.to_pylist() if r["kind"] == 3]
+    assert len(asked) == 1 and len(asked[0]["more"]) == substring_dedup.DIGEST
+    assert len(found[1]) == 49
+
+
+def test_colliding_hashes_remove_nothing(monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(substring_dedup, "_polynomial", lambda h, n, length, base: np.zeros(n, np.uint64))
+    compacted, _, found = steps_here([[(1, "a b c d e"), (2, "f g h i j")], [(3, "k l m n o")]])
+    assert sum(r["kind"] == 3 for t in compacted for r in t.to_pylist()) > 0  # all windows look alike
+    assert found == [[], []]
+
+
+def test_rows_come_in_any_order():
+    rows = [(3, "u v w x y z"), (1, "a b c d e f"), (3, "a b c d e f"), (None, "a b c d e f"), (2, None)]
+    want = steps_here([rows, [(9, "z a b c d e f u v w x")]])[2]
+    assert steps_here([rows[::-1], [(9, "z a b c d e f u v w x")]])[2] == want
+    assert [p["source_doc_id"] for p in want[1]] == [1, 3]
+
+
+def test_parts_follow_the_bytes_of_text():
+    assert substring_dedup.sizes(0, 8) == (16, 8)
+    parts, buckets = substring_dedup.sizes(10**12, 8)
+    assert 10**12 / parts <= substring_dedup.PART_BYTES and 10**12 / buckets <= substring_dedup.BUCKET_BYTES
+
+
+def test_dotted_columns(spark):
+    frame = spark.createDataFrame([(1, "one two three", 5)], ["doc_id", "text", "a.b"])
+    assert substring_dedup.remove_repeats(frame).collect() == frame.collect()
+    assert quality.keep(frame).columns == frame.columns
+
+
 def test_substring_dedup_odd(odd, nothing):
     found = sorted(((r["doc_id"], r["n_removed"]) for r in substring_dedup.digests(odd).collect()), key=str)
     assert found == sorted([(1, 0), (1, 0), (None, 0), (None, 0), (4, 0), (2, 14)], key=str)
