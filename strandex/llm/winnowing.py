@@ -1,21 +1,26 @@
 """Document fingerprints by winnowing, with Spark's own functions only.
 
-A text is cut into tokens: words, longer ones in pieces of PIECE code points, so that a text without white space has
-tokens too. Every K tokens in a row have a hash; of each WINDOW of such hashes in a row the least is chosen, the
-rightmost of equals. A text of fewer hashes is one window, and one of fewer tokens than K is one hash. So any two texts
-that share WINDOW + K - 1 tokens in a row share a chosen hash, and none of fewer than K tokens is matched. A position j
-is chosen exactly if there are enough neighbours before it that are not less and after it that are greater; that is a
-condition on single positions, evaluated with array functions inside the row.
+Every k code points in a row have a rolling polynomial hash modulo the prime 2**31 - 1, the sum of code_j * BASE**(k-1-j),
+where a code is a character's 31-bit hash. The hash rolls by doubling: that of 2m characters at i is that of m at i times
+BASE**m plus that of m at i + m, so k characters take log2(k) passes over the text's array. Of each WINDOW of such hashes
+in a row the least is chosen, the rightmost of equals; minima of windows double in the same way. A text of fewer hashes
+is one window, and one of fewer than k characters is one hash. So any two texts that share WINDOW + k - 1 characters in a
+row, at any offsets, share a chosen hash, and none of fewer than k characters is matched.
 
-The fingerprint is the chosen (position, hash) pairs in order; likeness is the Jaccard index of two texts' chosen hashes
-(1 for two texts without tokens).
+The fingerprint is the chosen (character position, hash) pairs in order; likeness is the Jaccard index of two texts'
+chosen hashes (1 for two empty texts).
+
+The edited text of a text is its front and the front of the next one. Its windows lie in the one, in the other, or across
+the seam; those in a front are chosen as they are in the whole text, so only WINDOW + k - 2 characters on both sides of
+the seam are hashed again. A pair's first window, by which a front's pairs are told, follows from the pair before it.
 
 For the comparison with the next document by id, rows are dealt to ranges of ids, the range bounds being ids of the
 table (percentiles, an array of fixed length). A range's first row is also sent to the range before it, so each row has
 its successor beside it, and only one exchange moves texts.
 
 Defined results: null is an empty text; equal texts have equal fingerprints; rows with one id follow each other by text;
-rows with a null id come first; a single row is its own successor; other columns are ignored.
+rows with a null id come first, by a hash of their text (ids under -2**62 among them); a single row is its own successor;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,50 +32,95 @@ from pyspark.sql import functions as F
 
 from strandex.llm.common import partitions
 
-K, WINDOW, PIECE = 3, 4, 4
+K, WINDOW = 8, 16
+#: Hashes have 31 bits; a chosen pair is one long, position << 31 | hash.
+BITS = 31
+PRIME, BASE = (1 << BITS) - 1, 1103515245
+
+
+def _long(value: int) -> Column:
+    return F.lit(value).cast("long")
+
+
+def _after(array: str, step: int) -> Column:
+    """The array from its entry `step` on."""
+    return F.slice(array, step + 1, F.greatest(F.size(array) - step, F.lit(0)))
+
+
+def _joined(left: str, right: str, left_length: int, right_length: int) -> Column:
+    """Hashes of left_length + right_length characters from the arrays `left` and `right` of hashes of fewer."""
+    power = pow(BASE, right_length, PRIME)
+    return F.zip_with(left, _after(right, left_length), lambda x, y: (x * _long(power) + y) % _long(PRIME))
+
+
+def _least(array: str, step: int) -> Column:
+    return F.zip_with(array, _after(array, step), lambda x, y: F.least(x, y))
 
 
-def token_hashes(text: Column, piece: int = PIECE) -> Column:
-    """64-bit hashes of a text's tokens."""
-    return F.transform(F.regexp_extract_all(text, F.lit(rf"[^\x20\x09-\x0D]{{1,{piece}}}"), F.lit(0)), lambda t: F.xxhash64(t))
+def _fingerprinted(df: DataFrame, text: str, name: str, k: int, window: int, short: Column | None = None) -> DataFrame:
+    """Adds `name`, the chosen pairs of the text column. Steps are columns of their own, so that none is computed twice.
 
+    `short`: whether a text of less than one whole window has pairs (null: always).
+    """
+    keep = list(df.columns)
+    short = F.lit(True) if short is None else short
+    n = F.length(text)
+    out = df.select(*keep, short.alias("__short"), F.transform(F.split(text, ""), lambda c: F.xxhash64(c).bitwiseAND(_long(PRIME)) % _long(PRIME)).alias("__p"), F.lit(None).cast("array<bigint>").alias("__h"))
+    length, done, rest = 1, 0, k
+    while rest:  # hashes of `length` characters in __p, of `done` in __h
+        if rest & 1:
+            out = out.withColumn("__h", _joined("__h", "__p", done, length) if done else F.col("__p"))
+            done += length
+        rest >>= 1
+        if rest:
+            out = out.withColumn("__p", _joined("__p", "__p", length, length))
+            length *= 2
+    whole = F.transform(F.slice("__h", 1, F.greatest(n - (k - 1), F.lit(0))), lambda h, i: F.shiftleft(h, BITS) - i)
+    one = F.array(F.shiftleft(F.xxhash64(text).bitwiseAND(_long(PRIME)), BITS))
+    out = out.select(*keep, "__short", F.when(n >= k, whole).when(n > 0, one).otherwise(F.array().cast("array<bigint>")).alias("__m"))
+    size = 1
+    grams = F.greatest(n - (k - 1), F.lit(1))
+    out = out.withColumn("__g", F.col("__m"))
+    while size < window:
+        step = min(size, window - size)
+        out = out.withColumn("__m", _least("__m", step))
+        size += step
+    least = F.when(grams >= window, F.array_distinct(F.slice("__m", 1, F.greatest(grams - (window - 1), F.lit(0))))).when(F.col("__short") & (n > 0), F.array(F.array_min("__g"))).otherwise(F.array().cast("array<bigint>"))
+    out = out.select(*keep, least.alias("__c"))
+
+    def pair(m: Column) -> Column:
+        at = F.negate(m).bitwiseAND(_long(PRIME))
+        return F.shiftleft(at, BITS).bitwiseOR(F.shiftright(m + at, BITS))
+
+    return out.select(*keep, F.transform("__c", pair).alias(name))
+
+
+def _at(pair: Column) -> Column:
+    return F.shiftright(pair, BITS)
 
-def gram_hashes(tokens: Column, k: int = K) -> Column:
-    """32-bit hashes of all k tokens in a row; of all tokens if they are fewer."""
-    n = F.size(tokens)
-    low = F.lit(0xFFFFFFFF).cast("long")
-    whole = F.transform(F.sequence(F.lit(0), n - k), lambda i: F.xxhash64(*(F.get(tokens, i + j) for j in range(k))).bitwiseAND(low))
-    return F.when(n >= k, whole).when(n > 0, F.array(F.xxhash64(tokens).bitwiseAND(low))).otherwise(F.array().cast("array<bigint>"))
 
+def _hash(pair: Column) -> Column:
+    return pair.bitwiseAND(_long(PRIME))
 
-def chosen(grams: Column, window: int = WINDOW) -> Column:
-    """Chosen positions as array<struct<at, h>>."""
-    last = F.size(grams) - 1
 
-    def within(x: Column, i: Column) -> Column:
-        """Whether some window holds i and x is its least hash, the rightmost of equals."""
-        found = F.lit(False)
-        for before in range(window):
-            holds = (i >= before) & (i + (window - 1 - before) <= last)
-            for j in range(1, before + 1):
-                holds = holds & (F.get(grams, i - j) >= x)
-            for j in range(1, window - before):
-                holds = holds & (F.get(grams, i + j) > x)
-            found = found | holds
-        return found
+def _of_front(pairs: Column, length: Column, k: int, window: int) -> Column:
+    """Of the pairs of a whole text, those that a whole window inside its first `length` characters chooses."""
 
-    def short(x: Column, i: Column) -> Column:
-        """The same for fewer hashes than a window."""
-        least = F.array_min(grams)
-        return (x == least) & (i == last - F.array_position(F.reverse(grams), least).cast("int") + 1)
+    def inside(p: Column, i: Column) -> Column:
+        before = F.get(pairs, i - 1)
+        first = F.when(i == 0, _long(0)).when(_hash(p) <= _hash(before), _at(p) - (window - 1)).otherwise(_at(before) + 1)
+        return first <= length - (k + window - 1)
 
-    pairs = F.transform(grams, lambda x, i: F.struct(i.alias("at"), x.alias("h")))
-    return F.when(last + 1 >= window, F.filter(pairs, lambda p: within(p["h"], p["at"]))).otherwise(F.filter(pairs, lambda p: short(p["h"], p["at"])))
+    return F.when(length >= k + window - 1, F.filter(pairs, inside)).otherwise(F.array().cast("array<bigint>"))
+
+
+def _moved(pairs: Column, by: Column) -> Column:
+    return F.transform(pairs, lambda p: p + F.shiftleft(by.cast("long"), BITS))
 
 
 def spelled(pairs: Column) -> Column:
     """A fingerprint as text: position:hash in hexadecimal, in order, joined by spaces."""
-    return F.array_join(F.transform(pairs, lambda p: F.concat(p["at"].cast("string"), F.lit(":"), F.lower(F.hex(p["h"])))), " ")
+    return F.array_join(F.transform(pairs, lambda p: F.concat(_at(p).cast("string"), F.lit(":"), F.lower(F.hex(_hash(p))))), " ")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -79,18 +129,11 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when(either > 0, both / either).otherwise(F.lit(1.0))
 
 
-def _fingerprinted(df: DataFrame, text: str, name: str, k: int, window: int, piece: int) -> DataFrame:
-    """Adds `name`, the chosen pairs of the text column. Steps are columns of their own, so that none is computed twice."""
-    keep = [c for c in df.columns]
-    tokens = df.select(*keep, token_hashes(F.col(text), piece).alias("__t"))
-    grams = tokens.select(*keep, gram_hashes(F.col("__t"), k).alias("__g"))
-    return grams.select(*keep, chosen(F.col("__g"), window).alias(name))
-
-
-def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def fingerprints(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fingerprint: array of (at, h))."""
     base = docs.select(docs[id_col].alias("id"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
-    return _fingerprinted(base, "t", "fingerprint", k, window, piece).select(F.col("id").alias(id_col), "fingerprint")
+    pairs = F.transform("fingerprint", lambda p: F.struct(_at(p).cast("int").alias("at"), _hash(p).alias("h")))
+    return _fingerprinted(base, "t", "fingerprint", k, window).select(F.col("id").alias(id_col), pairs.alias("fingerprint"))
 
 
 def _dealt(base: DataFrame) -> DataFrame:
@@ -112,21 +155,29 @@ def _dealt(base: DataFrame) -> DataFrame:
     return placed.select("id", "o", "t", F.explode(F.when(F.col("first"), F.array(itself, before)).otherwise(F.array(itself))).alias("c")).select("id", "o", "t", "c.range", "c.extra")
 
 
-def compare_with_edited(docs: DataFrame, k: int = K, window: int = WINDOW, piece: int = PIECE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def compare_with_edited(docs: DataFrame, k: int = K, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of its edited text: the last floor(n/2) code points replaced by the first as many, or
     all, of the next document by ascending id (after the last: the first).
 
     (id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next).
     """
-    order = F.coalesce(docs[id_col].cast("long"), F.lit(-(2**63)))
-    base = docs.select(docs[id_col].alias("id"), order.alias("o"), F.coalesce(docs[text_col], F.lit("")).alias("t"))
-    marked = _fingerprinted(_dealt(base).repartition("range"), "t", "fp", k, window, piece)
+    text = F.coalesce(docs[text_col], F.lit(""))
+    order = F.coalesce(docs[id_col].cast("long"), F.shiftrightunsigned(F.xxhash64(text), 2) - _long(2**62) - _long(2**62))
+    base = docs.select(docs[id_col].alias("id"), order.alias("o"), text.alias("t"))
+    marked = _fingerprinted(_dealt(base).repartition("range"), "t", "fp", k, window)
     follow = Window.partitionBy("range").orderBy("extra", "o", "t")
     paired = marked.select("*", F.lead("t").over(follow).alias("next_t"), F.lead("fp").over(follow).alias("next_fp")).where("extra = 0")
     half = F.floor(F.length("t") / 2).cast("int")
-    edited = F.concat(F.substring(F.col("t"), F.lit(1), F.length("t") - half), F.substring(F.col("next_t"), F.lit(1), half))
-    changed = paired.select("id", F.length("t").cast("long").alias("n_chars"), "fp", "next_fp", edited.alias("e"))
-    compared = _fingerprinted(changed.withColumn("edited_sha256", F.sha2(F.col("e"), 256)), "e", "edited_fp", k, window, piece).drop("e")
-    hashes = lambda c: F.transform(c, lambda p: p["h"])
+    fronts = paired.select("id", "t", "next_t", "fp", "next_fp", F.length("t").alias("n"), (F.length("t") - half).alias("front"), F.least(half, F.length("next_t")).alias("other"))
+    edited = F.concat(F.substring(F.col("t"), F.lit(1), F.col("front")), F.substring(F.col("next_t"), F.lit(1), F.col("other")))
+    reach = k + window - 2  # characters of a window across the seam that can lie on one side
+    begin = F.greatest(F.col("front") - reach, F.lit(0))
+    seam = F.concat(F.substring(F.col("t"), begin + 1, F.col("front") - begin), F.substring(F.col("next_t"), F.lit(1), F.least(F.col("other"), F.lit(reach))))
+    cut = fronts.select("id", "n", "front", "other", "fp", "next_fp", F.sha2(edited, 256).alias("edited_sha256"), seam.alias("seam"), begin.alias("begin"))
+    # a seam of less than a window has pairs only where it is the whole edited text
+    across = _fingerprinted(cut, "seam", "seam_fp", k, window, F.col("front") + F.col("other") <= reach)
+    edited_fp = F.array_distinct(F.concat(_of_front(F.col("fp"), F.col("front"), k, window), _moved(F.col("seam_fp"), F.col("begin")), _moved(_of_front(F.col("next_fp"), F.col("other"), k, window), F.col("front"))))
+    compared = across.select("id", F.col("n").cast("long").alias("n_chars"), "edited_sha256", "fp", "next_fp", edited_fp.alias("edited_fp"))
+    hashes = lambda c: F.transform(c, _hash)
     apart = compared.select("*", hashes(F.col("fp")).alias("a"), hashes(F.col("edited_fp")).alias("b"), hashes(F.col("next_fp")).alias("c"))
     return apart.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", spelled(F.col("fp")).alias("fingerprint"), spelled(F.col("edited_fp")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"), likeness(F.col("a"), F.col("c")).alias("near_next"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+from functools import lru_cache
 
 import pytest
 import xxhash
@@ -183,46 +184,78 @@ def test_substring_dedup_odd(odd, nothing):
     assert substring_dedup.remove_repeats(odd).columns == odd.columns and substring_dedup.paths(nothing).count() == 0
 
 
-def test_winnowing(docs, rows, odd, nothing):
-    found = {r["doc_id"]: r for r in winnowing.compare_with_edited(docs).collect()}
-    ordered = sorted(rows, key=lambda r: r[0])
-    grams = lambda t: (lambda w: [tuple(w[i : i + 3]) for i in range(len(w) - 2)] if len(w) > 2 else [tuple(w)] if w else [])(re.findall(r"[^\x20\x09-\x0D]{1,4}", t))
-    for k, (doc, text, *_) in enumerate(ordered):
-        text, after = text or "", ordered[(k + 1) % len(ordered)][1] or ""
-        half = len(text) // 2
-        edited = text[: len(text) - half] + after[:half]
-        r = found[doc]
-        assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
-        own = grams(text)
-        at = {int(x.split(":")[0]) for x in r["fingerprint"].split()}
-        assert all(any(p in at for p in range(s, s + 4)) for s in range(len(own) - 3)) and (at or not own)
-        if text == edited:
-            assert r["near_edited"] == 1 and r["fingerprint"] == r["edited_fingerprint"]
-        assert 0 <= r["near_next"] <= 1
-    by_text = {}
-    for doc, text, *_ in rows:
-        assert by_text.setdefault(text or "", found[doc]["fingerprint"]) == found[doc]["fingerprint"]
-    assert winnowing.compare_with_edited(odd).count() == 6 and winnowing.compare_with_edited(nothing).count() == 0
-    assert winnowing.compare_with_edited(odd.where("doc_id = 2")).first()["near_next"] == 1
-
-
 def plain_winnow(hashes, w):
     chosen = set()
     for s in range(max(1, len(hashes) - w + 1) if hashes else 0):
         part = hashes[s : s + w]
-        chosen.add(max(s + k for k, h in enumerate(part) if h == min(part)))
+        least = min(part)
+        chosen.add(max(s + k for k, h in enumerate(part) if h == least))
     return sorted(chosen)
 
 
-def test_winnow_chooses_what_windows_choose(spark):
-    r = random.Random(9)
-    lists = [[r.randint(0, 6) for _ in range(r.randint(0, 14))] for _ in range(150)]
-    frame = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i long, g array<bigint>")
-    from pyspark.sql import functions as F
+@lru_cache(maxsize=None)
+def plain_pairs(text, k, w):
+    """(position, hash) pairs by the definition: every window of every sum of codes."""
+    prime = winnowing.PRIME
+    codes = [(xxhash.xxh64_intdigest(c, seed=42) & prime) % prime for c in text]
+    powers = [pow(winnowing.BASE, k - 1 - j, prime) for j in range(k)]
+    grams = [sum(c * p for c, p in zip(codes[i : i + k], powers, strict=True)) % prime for i in range(len(text) - k + 1)]
+    if not grams and text:
+        grams = [xxhash.xxh64_intdigest(text, seed=42) & prime]
+    return [(i, grams[i]) for i in plain_winnow(grams, w)]
+
+
+def plain_comparison(pairs_of, ordered, k, w):
+    for n, (doc, text) in enumerate(ordered):
+        text, after = text or "", ordered[(n + 1) % len(ordered)][1] or ""
+        half = len(text) // 2
+        edited = text[: len(text) - half] + after[:half]
+        own, other, following = (pairs_of(t, k, w) for t in (text, edited, after))
+        spell = lambda x: " ".join(f"{i}:{h:x}" for i, h in x)
+        like = lambda x, y: (lambda p, q: len(p & q) / len(p | q) if p | q else 1.0)({h for _, h in x}, {h for _, h in y})
+        yield doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), spell(own), spell(other), like(own, other), like(own, following)
+
+
+FIELDS = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
 
-    for w in (1, 3, 4):
-        for row in frame.select("i", winnowing.chosen(F.col("g"), w).alias("c")).collect():
-            assert [p["at"] for p in row["c"]] == plain_winnow(lists[row["i"]], w)
+
+@pytest.mark.parametrize(("k", "w"), [(winnowing.K, winnowing.WINDOW), (3, 4), (1, 1), (5, 7)])
+def test_winnowing(docs, rows, k, w):
+    short = docs.where("doc_id % 2 = 0 or n_chars < 900 or n_chars is null") if k == 5 else docs
+    ids = {r["doc_id"] for r in short.select("doc_id").collect()}
+    found = {tuple(r[c] for c in FIELDS) for r in winnowing.compare_with_edited(short, k, w).collect()}
+    assert found == set(plain_comparison(plain_pairs, sorted((r[0], r[1]) for r in rows if r[0] in ids), k, w))
+
+
+def test_winnowing_of_short_texts(spark):
+    r = random.Random(5)
+    rows = [(i, "".join(r.choice("ab é日\n") for _ in range(r.randint(0, 60)))) for i in range(150)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for k, w in ((8, 16), (4, 4), (2, 3)):
+        found = {tuple(r[c] for c in FIELDS) for r in winnowing.compare_with_edited(frame, k, w).collect()}
+        assert found == set(plain_comparison(plain_pairs, rows, k, w))
+
+
+def test_a_shared_passage_shares_a_hash_at_any_offset(spark):
+    r = random.Random(6)
+    passage = "".join(r.choice("日本語文字列検索一致") for _ in range(winnowing.K + winnowing.WINDOW - 1))
+    rows = [(i, "".join(r.choice("甲乙丙丁") for _ in range(i)) + passage + "".join(r.choice("戊己庚") for _ in range(9))) for i in range(12)]
+    found = winnowing.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    hashes = [{p["h"] for p in row["fingerprint"]} for row in found]
+    assert set.intersection(*hashes)
+
+
+def test_long_texts_are_like_their_edited_texts(spark):
+    """From 2 * (k + window - 1) characters on, the front that is kept holds a whole window."""
+    least = 2 * (winnowing.K + winnowing.WINDOW - 1)
+    r = random.Random(8)
+    rows = [(i, "".join(chr(r.randint(97, 122)) for _ in range(least + i % 40))) for i in range(200)]
+    assert winnowing.compare_with_edited(spark.createDataFrame(rows, "doc_id long, text string")).agg({"near_edited": "min"}).first()[0] > 0
+
+
+def test_winnowing_odd(odd, nothing):
+    assert winnowing.compare_with_edited(odd).count() == 6 and winnowing.compare_with_edited(nothing).count() == 0
+    assert winnowing.compare_with_edited(odd.where("doc_id = 2")).first()["near_next"] == 1
 
 
 def test_pipeline(spark):
