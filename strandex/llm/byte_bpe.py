@@ -51,10 +51,11 @@ def _model_from_ranks(ranks: dict[bytes, int]):
 
 
 def _model_from_json(path: str):
-    """The BPE model of a tokenizer file, without its splitting and special tokens: those strings are ordinary text."""
+    """The BPE model of a tokenizer file, without its splitting and added tokens; and the id of each added token."""
     from tokenizers import Tokenizer
 
-    return Tokenizer(Tokenizer.from_file(path).model)
+    whole = Tokenizer.from_file(path)
+    return Tokenizer(whole.model), {token.content: i for i, token in whole.get_added_tokens_decoder().items()}
 
 
 @lru_cache(maxsize=1)
@@ -114,9 +115,9 @@ class ByteBPE:
         if path.endswith(".tiktoken"):
             with open(path, "rb") as f:
                 ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-            self.model = _model_from_ranks(ranks)
+            self.model, self.added = _model_from_ranks(ranks), {}
         else:
-            self.model = _model_from_json(path)
+            self.model, self.added = _model_from_json(path)
         table = byte_table()
         back = {c: b for b, c in enumerate(table)}
         self.bytes_of: dict[int, bytes] = {i: bytes(back[c] for c in t) for t, i in self.model.get_vocab().items() if all(c in back for c in t)}
@@ -146,6 +147,13 @@ class ByteBPE:
             self.memo.clear()
         return np.frombuffer(b"".join(map(self.memo.__getitem__, self.split(text))), dtype=np.uint32)
 
+    def encode_marked(self, text: str) -> np.ndarray:
+        """Ids as the library's own encode gives them: where a text spells an added token of the file, that token's id."""
+        if not any(token in text for token in self.added):
+            return self.encode(text)
+        parts = re.split("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")", text)
+        return np.concatenate([np.array([self.added[x]], dtype=np.uint32) if x in self.added else self.encode(x) for x in parts])
+
     def encode_with_offsets(self, text: str) -> tuple[list[int], list[int], list[int]]:
         """Ids with the byte offset at which each token starts and ends in the text's UTF-8."""
         ids, starts, ends, at = [], [], [], 0

@@ -5,9 +5,10 @@ placed online. `level[h]` counts the open windows filled up to h. Of all placeme
 in a new one, the one is taken that makes the sum of level[h] ** 2 smallest; of equals, the fullest window.
 Each task packs what it reads, on its own, so nothing is shuffled and a lost task is repeated alone and alike.
 
-Open windows hold their pieces until they are full. When a task ends, or OPEN_WINDOWS are open, the open windows are
-drained: their pieces are laid end to end and cut at each window's end, and at the very end the rest is cut into
-powers of two, which need no padding. So at most OPEN_WINDOWS windows of ids are held, and no padding is left.
+Open windows hold their pieces until they are full. When a task ends, or OPEN_WINDOWS are open, windows are closed, in the
+second case one of the most crowded level. A closed window keeps its pieces, in order, and takes none of another window:
+it is cut at powers of two, which need no padding, or, from `pad_from` of its size on, padded (1: none is). So at most
+OPEN_WINDOWS windows of ids are held.
 
 Defined results: a null text is the end id alone; equal rows are packed each for itself; no rows give no windows.
 """
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 
 from strandex.llm.byte_bpe import codec
 
-OPEN_WINDOWS = 2048
+OPEN_WINDOWS = 8192
 #: A task numbers its windows from its partition number times this.
 WINDOWS_OF_A_TASK = 1 << 40
 
@@ -35,8 +36,8 @@ NAMES = ["start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 class Packer:
     """Windows of `size` ids. Takes documents, one after another; `rows` gathers (doc, start, length, crc, doc_tokens, window, offset)."""
 
-    def __init__(self, size: int, first: int = 0, open_windows: int = OPEN_WINDOWS):
-        self.size, self.next, self.most = size, first, open_windows
+    def __init__(self, size: int, first: int = 0, open_windows: int = OPEN_WINDOWS, pad_from: float = 1.0):
+        self.size, self.next, self.most, self.pad_from = size, first, open_windows, pad_from
         self.level = np.zeros(size + 1, dtype=np.int64)
         self.at: list[list[tuple[int, list]]] = [[] for _ in range(size + 1)]  # of each level, (window, its pieces)
         self.open = 0
@@ -85,37 +86,38 @@ class Packer:
         self.level[h + length] += 1
         self.open += 1
         if self.open >= self.most:
-            self.drain()
-
-    def drain(self) -> None:
-        """Lay the pieces of open windows end to end, the fullest window first, and cut them anew without padding."""
-        rest = [w for h in range(self.size, 0, -1) for w in self.at[h]]
-        left = sum(len(p[2]) for _, pieces in rest for p in pieces)
-        numbers = iter(window for window, _ in rest)
-        held: list = []
-        room = self._room(left)
-        for _, pieces in rest:
-            for doc, start, ids, total in pieces:
-                while len(ids):
-                    part, ids = ids[:room], ids[room:]
-                    held.append((doc, start, part, total))
-                    start += len(part)
-                    room -= len(part)
-                    left -= len(part)
-                    if not room:
-                        number = next(numbers, None)
-                        self._emit(self._new() if number is None else number, held)
-                        held, room = [], self._room(left)
-        self.level[:] = 0
-        self.at = [[] for _ in range(self.size + 1)]
-        self.open = 0
-
-    def _room(self, left: int) -> int:
-        """The next window's length: whole while enough is left, then the largest power of two."""
-        return self.size if left >= self.size else 1 << max(left.bit_length() - 1, 0)
-
-
-def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+            self._close(int(self.size - np.argmax(self.level[::-1])))  # of equally crowded levels the fullest
+
+    def finish(self) -> None:
+        """Close all open windows, the fullest first."""
+        for h in range(self.size - 1, 0, -1):
+            while self.level[h]:
+                self._close(h)
+
+    def _close(self, h: int) -> None:
+        """Close the window of level h that was opened last: padded if it is full enough, else in powers of two."""
+        window, pieces = self.at[h].pop()
+        self.level[h] -= 1
+        self.open -= 1
+        if h >= self.pad_from * self.size or h & (h - 1) == 0:
+            self._emit(window, pieces)
+            return
+        rest = list(reversed(pieces))
+        while h:
+            room = 1 << h.bit_length() - 1
+            h -= room
+            held = []
+            while room:
+                doc, start, ids, total = rest.pop()
+                held.append((doc, start, ids[:room], total))
+                if len(ids) > room:
+                    rest.append((doc, start + room, ids[room:], total))
+                room -= len(held[-1][2])
+            self._emit(window, held)
+            window = self._new() if h else window
+
+
+def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", pad_from: float = 1.0) -> DataFrame:
     """Tokenize every whole text and pack the ids; one row for each piece.
 
     (id, start: its document's ids before it, length, ids_crc32, doc_tokens with the end id, sequence_id, offset).
@@ -124,7 +126,7 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = np.uint32(end_id)
-        own, packer, schema = codec(path, pattern), Packer(size, TaskContext.get().partitionId() * WINDOWS_OF_A_TASK), None
+        own, packer, schema = codec(path, pattern), Packer(size, TaskContext.get().partitionId() * WINDOWS_OF_A_TASK, pad_from=pad_from), None
 
         def out():
             columns = list(zip(*packer.rows, strict=True)) or [()] * 7
@@ -134,10 +136,10 @@ def pack(docs: DataFrame, path: str, pattern: str, size: int = 1024, end_id: int
         for batch in batches:
             schema = batch.schema.field(0).type
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                packer.add(doc, np.append(own.encode(text.as_py() or ""), end).astype("<u4", copy=False))
+                packer.add(doc, np.append(own.encode_marked(text.as_py() or ""), end).astype("<u4", copy=False))
             yield out()
         if schema is not None:
-            packer.drain()
+            packer.finish()
             yield out()
 
     return docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"`{id_col}` {kind}, {SCHEMA}")

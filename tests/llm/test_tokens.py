@@ -1,7 +1,7 @@
 import base64
 import hashlib
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers as P
@@ -91,7 +91,7 @@ def check_packing(pieces, ids_of, size):
 
 def test_packing(docs, rows, odd, nothing):
     tokenizer = Tokenizer.from_file(PLAIN)
-    tokenizer.encode_special_tokens = True
+    assert 50256 in tokenizer.encode("<|endoftext|> is text", add_special_tokens=False).ids
     for size in (1024, 16):
         found = packing.pack(docs, PLAIN, P.PATTERN, size=size).collect()
         check_packing(found, {d: [*tokenizer.encode(t or "", add_special_tokens=False).ids, 0] for d, t, *_ in rows}, size)
@@ -120,12 +120,46 @@ def test_placement_makes_the_sum_of_squares_least():
         assert packer.open == packer.level.sum()
 
 
-def test_full_drains_keep_every_id():
+def packed(lengths, size=64, open_windows=8192):
     r = np.random.default_rng(5)
-    packer, docs = packing.Packer(64, open_windows=5), {}
-    for d in range(300):
-        docs[d] = r.integers(0, 99, int(r.integers(1, 200))).tolist()
+    packer, docs = packing.Packer(size, open_windows=open_windows), {}
+    for d, n in enumerate(lengths):
+        docs[d] = r.integers(0, 99, int(n)).tolist()
         packer.add(d, np.array(docs[d], dtype="<u4"))
-    packer.drain()
+    packer.finish()
     names = ["doc_id", *packing.NAMES]
-    check_packing([dict(zip(names, x, strict=True)) for x in packer.rows], docs, 64)
+    rows = [dict(zip(names, x, strict=True)) for x in packer.rows]
+    check_packing(rows, docs, size)
+    return rows
+
+
+@pytest.mark.parametrize("open_windows", (5, 8192))
+def test_closing_keeps_every_id(open_windows):
+    packed(np.random.default_rng(5).integers(1, 200, 300), open_windows=open_windows)
+
+
+def test_documents_that_only_leave_gaps_are_cut_at_powers_of_two():
+    rows = packed([37] * 50, open_windows=10)  # no two fit in a window, and a window of one is 0.58 full
+    sizes = Counter()
+    for r in rows:
+        sizes[r["sequence_id"]] += r["length"]
+    assert set(sizes.values()) == {32, 4, 1}
+
+
+def test_a_window_is_closed_with_its_own_pieces():
+    r = np.random.default_rng(4)
+    packer = packing.Packer(64)
+    for d in range(400):
+        packer.add(d, r.integers(0, 9, int(r.integers(1, 64))).astype("<u4"))
+    before = {doc: {d for d, *_ in pieces} for of in packer.at for _, pieces in of for doc, *_ in pieces}
+    at, full = len(packer.rows), {}
+    packer.finish()
+    for doc, _, _, _, _, window, _ in packer.rows[at:]:
+        full.setdefault(window, set()).add(doc)
+    assert all(docs <= before[next(iter(docs))] for docs in full.values())
+
+
+def test_padding_is_bounded_where_it_is_asked_for(docs):
+    found = packing.pack(docs, PLAIN, P.PATTERN, pad_from=0.75).groupBy("sequence_id").sum("length").collect()
+    sizes = [r[1] for r in found]
+    assert all(n >= 768 or n & (n - 1) == 0 for n in sizes) and any(n & (n - 1) for n in sizes)
