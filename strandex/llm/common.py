@@ -19,15 +19,24 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that spark.checkpoint.dir names.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local session that names none (as in tests) gets a temporary one."""
+    context = spark.sparkContext
+    named = context.getConf().get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if named:
+        return named
+    if not context.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="strandex-checkpoint-"))
+    return context.getCheckpointDir()
+
 
-    The folder is the cluster's. Only a session that names none (as in tests) gets a temporary one.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
     context = df.sparkSession.sparkContext
+    folder = shared_folder(df.sparkSession)
     if context.getCheckpointDir() is None:
-        named = context.getConf().get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="strandex-checkpoint-"))
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
