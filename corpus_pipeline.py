@@ -3,18 +3,21 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, whole
 rows of its predecessor's output less what the stage decides to drop or cut. run() writes each stage as Parquet in the
 folder that spark.checkpoint.dir names and reads it again.
+
+Defined results: an empty table gives no rows; a null or empty text fails the quality rules and goes; further columns, of
+any name, pass through to the last stage; of rows with one id, near-dedup keeps all or none; rows with a null id lose no
+words in substring dedup and are packed with a null id.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from strandex.llm import packing, quality, simhash, substring_dedup, toxicity
+from strandex.llm import common, packing, quality, simhash, substring_dedup, toxicity
 
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -62,7 +65,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents."""
-    shared = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="strandex-pipeline-")
+    shared = common.shared_folder(spark)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     base = f"{shared}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):

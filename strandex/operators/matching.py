@@ -5,23 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: More patterns than this are joined by a shuffle of the windows instead of a broadcast.
-BROADCAST_PATTERNS = 200_000
+#: More patterns, or more bytes of them, than this are joined by a shuffle of the windows instead of a broadcast.
+BROADCAST_PATTERNS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def occurrences(lines: DataFrame, patterns: DataFrame) -> DataFrame:
     """(line_no, end_pos, len, symbol), one row for each pattern (str, symbol) that ends at a position, overlaps included.
 
     Windows of the lengths that patterns have are looked up by an equi-join, so no pair of a string and a pattern that
-    isn't in it is looked at. The pattern side is broadcast only up to BROADCAST_PATTERNS rows.
+    isn't in it is looked at. The pattern side is broadcast only up to BROADCAST_PATTERNS rows and BROADCAST_BYTES bytes.
     """
     distinct = patterns.select(F.col("str").alias("pat"), "symbol").where("pat <> ''").distinct()
-    found = distinct.groupBy(F.length("pat").alias("n")).agg(F.count("*").alias("k")).collect()  # one row for each length
+    found = distinct.groupBy(F.length("pat").alias("n")).agg(F.count("*").alias("k"), F.sum(F.octet_length("pat")).alias("b")).collect()  # one row for each length
     lengths = sorted(r["n"] for r in found)
     every = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
     by_length = lines.select("line_no", "line", F.explode(F.filter(every, lambda n: n <= F.length("line"))).alias("len"))
     windows = by_length.select("line_no", "len", F.explode(F.sequence(F.lit(1), F.length("line") - F.col("len") + 1)).alias("i"), "line").select("line_no", "len", (F.col("i") + F.col("len") - 1).cast("long").alias("end_pos"), F.substring(F.col("line"), F.col("i"), F.col("len")).alias("pat"))
-    side = F.broadcast(distinct) if sum(r["k"] for r in found) <= BROADCAST_PATTERNS else distinct
+    side = F.broadcast(distinct) if sum(r["k"] for r in found) <= BROADCAST_PATTERNS and sum(r["b"] for r in found) <= BROADCAST_BYTES else distinct
     return windows.join(side, "pat").select("line_no", "end_pos", "len", "symbol")
 
 

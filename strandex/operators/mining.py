@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Lines whose k-grams are counted in one window; a frequent k-gram is counted in as many windows as there are such runs.
 RUN = 1 << 16
+#: More k-grams than this are joined by a shuffle instead of a broadcast.
+BROADCAST_KGRAMS = 200_000
 
 
 def histogram(lines: DataFrame) -> DataFrame:
@@ -40,7 +42,8 @@ def running_counts(grams: DataFrame, run: int = RUN) -> DataFrame:
 def final_counts(grams: DataFrame, top: int) -> DataFrame:
     """The order-free form: hh is the k-gram's count in all, for the `top` most frequent k-grams (ties by k-gram), else 0."""
     heavy = grams.groupBy("kgram").agg(F.count("*").alias("hh")).orderBy(F.desc("hh"), "kgram").limit(top)
-    return grams.join(F.broadcast(heavy), "kgram", "left").select("line_no", "pos", "kgram", "n_pos", F.coalesce("hh", F.lit(0)).cast("long").alias("hh"))
+    side = F.broadcast(heavy) if top <= BROADCAST_KGRAMS else heavy
+    return grams.join(side, "kgram", "left").select("line_no", "pos", "kgram", "n_pos", F.coalesce("hh", F.lit(0)).cast("long").alias("hh"))
 
 
 def similar(current: Column, previous: Column, ratio: float) -> Column:

@@ -52,10 +52,13 @@ class Dictionary:
         return spark.createDataFrame([(s, t, f, lit, len(c), c) for s, t, f, lit, c in self.rows], schema.DICTIONARY)
 
 
-def candidates(components: DataFrame, params: Params) -> DataFrame:
-    """(pat, real_count, score): the mined strings that are worth trying, bounded by the pool for n2 patterns."""
+def candidates(components: DataFrame, params: Params, run: int = mining.RUN) -> DataFrame:
+    """(pat, real_count, score): the mined strings that are worth trying, bounded by the pool for n2 patterns.
+
+    `run`: how many line numbers are counted in one window; composed numbers need as many times more as a line may take.
+    """
     grams = mining.kgrams(components, params.k)
-    counted = mining.running_counts(grams) if params.mode == "exact" else mining.final_counts(grams, mining.pool_size(params.n1))
+    counted = mining.running_counts(grams, run) if params.mode == "exact" else mining.final_counts(grams, mining.pool_size(params.n1))
     found = mining.series_counts(mining.series(counted, components, params.k, params.r))
     return mining.top_candidates(mining.containment_scores(mining.heavy(found, mining.pool_size(params.n2)), params.k), params.n2)
 
@@ -68,9 +71,9 @@ def build(lines: DataFrame, params: Params = RECOMMENDED, delimiters: str | None
     """
     mined = lines
     if delimiters:
-        mined = sources.components(lines, delimiters).select((F.col("line_no") * (1 << 20) + F.col("pos")).alias("line_no"), F.col("token").alias("line"))
+        mined = sources.numbered_components(lines, delimiters)
     literals = {r["symbol"]: r["freq"] for r in mining.histogram(lines).collect()}
-    pool = [(r["pat"], r["real_count"]) for r in candidates(mined, params).collect()] if params.n2 else []
+    pool = [(r["pat"], r["real_count"]) for r in candidates(mined, params, mining.RUN << (sources.COMPONENT_BITS if delimiters else 0)).collect()] if params.n2 else []
     total = 1 + sum(literals.values()) + sum(n for _, n in pool)
     return finish(lines, literals, pool, total, params)
 

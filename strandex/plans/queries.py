@@ -85,12 +85,12 @@ heavy AS (SELECT * FROM counts ORDER BY real_count DESC, pat LIMIT {pool}),
 scores AS (SELECT a.pat, a.real_count, (1 + sum(b.real_count))::BIGINT AS score FROM heavy a JOIN heavy b ON contains(b.pat, a.pat) GROUP BY a.pat, a.real_count)"""
 
 
-def _counted(lines: DataFrame, k: int = K) -> DataFrame:
-    return mining.running_counts(mining.kgrams(lines, k), run=64)
+def _counted(lines: DataFrame, k: int = K, run: int = 64) -> DataFrame:
+    return mining.running_counts(mining.kgrams(lines, k), run)
 
 
-def _series(lines: DataFrame, k: int = K, ratio: float = RATIO) -> DataFrame:
-    return mining.series(_counted(lines, k), lines, k, ratio)
+def _series(lines: DataFrame, k: int = K, ratio: float = RATIO, run: int = 64) -> DataFrame:
+    return mining.series(_counted(lines, k, run), lines, k, ratio)
 
 
 def _scores(lines: DataFrame, n: int) -> DataFrame:
@@ -139,6 +139,10 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
             lambda s, d, chars=chars: sources.components(_pages(s, d), chars),
             f"WITH {PAGES_SQL}, t AS (SELECT line_no, list_filter(regexp_split_to_array(line, '[{chars}]'), lambda x: x <> '') AS t FROM u) SELECT line_no, (generate_subscripts(t, 1) - 1)::BIGINT AS pos, unnest(t) AS token FROM t",
         )
+    q["component_split_letters"] = (
+        lambda s, d: sources.components(_pages(s, d), "dnw-^]"),
+        f"WITH {PAGES_SQL}, t AS (SELECT line_no, list_filter(string_split(translate(line, 'dnw-^]', '......'), '.'), lambda x: x <> '') AS t FROM (SELECT line_no, replace(line, '.', chr(1)) AS line FROM u)) SELECT line_no, (generate_subscripts(t, 1) - 1)::BIGINT AS pos, replace(unnest(t), chr(1), '.') AS token FROM t",
+    )
     q["char_histogram"] = (
         lambda s, d: mining.histogram(_pages(s, d)).select("symbol", "freq"),
         f"WITH {PAGES_SQL}, c AS (SELECT ascii(ch) AS symbol, count(*) AS n FROM (SELECT unnest(string_split(line, '')) AS ch FROM u) GROUP BY 1) SELECT i::INTEGER AS symbol, (coalesce(n, 0) + 1)::BIGINT AS freq FROM range(1, 128) r(i) LEFT JOIN c ON c.symbol = i",
@@ -153,9 +157,9 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
         q[f"candidate_topn_{corpus}"] = lambda s, d, f=frame: mining.top_candidates(_scores(f(s, d), 100), 100), f"WITH {_scores_sql(sql, K, RATIO, 100)} SELECT * FROM scores ORDER BY score DESC, pat LIMIT {mining.pool_size(100)}"
     mined = _mining_sql(PAGES_SQL, K, RATIO)
     q["kgram_series_r09_k2"] = lambda s, d: _series(_pages(s, d), 2, 0.9), f"WITH {_mining_sql(PAGES_SQL, 2, 0.9)} SELECT line_no, s, e, text FROM series"
-    components_sql = "u AS (SELECT line_no * 1048576 + generate_subscripts(t, 1) - 1 AS line_no, unnest(t) AS line FROM (SELECT page_id AS line_no, list_filter(regexp_split_to_array(url, '[.]'), lambda x: x <> '') AS t FROM pages))"
+    components_sql = f"u AS (SELECT line_no * {1 << sources.COMPONENT_BITS} + generate_subscripts(t, 1) - 1 AS line_no, unnest(t) AS line FROM (SELECT page_id AS line_no, list_filter(regexp_split_to_array(url, '[.]'), lambda x: x <> '') AS t FROM pages))"
     q["component_series_k2"] = (
-        lambda s, d: _series(sources.components(_pages(s, d), ".").select((F.col("line_no") * (1 << 20) + F.col("pos")).alias("line_no"), F.col("token").alias("line")), 2),
+        lambda s, d: _series(sources.numbered_components(_pages(s, d), "."), 2, run=64 << sources.COMPONENT_BITS),
         f"WITH {_mining_sql(components_sql, 2, RATIO)} SELECT line_no, s, e, text FROM series",
     )
     q["kgram_topn"] = lambda s, d: mining.kgrams(_pages(s, d), K).groupBy("kgram").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kgram").limit(50), f"WITH {mined} SELECT kgram, count(*)::BIGINT AS n FROM g GROUP BY kgram ORDER BY n DESC, kgram LIMIT 50"

@@ -59,9 +59,20 @@ def skipped_lines(lines: DataFrame, within: str = "doc", order: str = "pos") ->
     return lines.withColumn("reported", accepted + 1).where(~is_valid(F.col("line")))
 
 
+#: Bits of a composed component number that count the components of a line.
+COMPONENT_BITS = 24
+
+
+def numbered_components(lines: DataFrame, delimiters: str) -> DataFrame:
+    """(line_no, line): components as lines of their own, numbered line_no << COMPONENT_BITS | pos; a line of more stops the job."""
+    fits = F.assert_true(F.col("pos") < (1 << COMPONENT_BITS), F.lit("a line has too many components"))
+    number = F.shiftleft("line_no", COMPONENT_BITS) + F.col("pos")
+    return components(lines, delimiters).select(F.when(fits.isNull(), number).alias("line_no"), F.col("token").alias("line"))
+
+
 def components(lines: DataFrame, delimiters: str) -> DataFrame:
     """(line_no, pos, token): what stands between any of the delimiter characters; empty tokens are dropped."""
-    cls = "[" + "".join("\\" + c for c in delimiters) + "]"
+    cls = "[" + "".join("\\" + c if c in "[]^-\\&" else c for c in delimiters) + "]"  # a backslash before a letter would name a class
     tokens = F.filter(F.split("line", cls), lambda t: t != "")
     return lines.select("line_no", F.posexplode(tokens).alias("pos", "token")).select("line_no", F.col("pos").cast("long").alias("pos"), "token")
 
