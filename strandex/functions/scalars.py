@@ -48,5 +48,12 @@ def get_bits(word: Column, index: Column, width: int) -> Column:
     return F.call_function("shiftrightunsigned", word, (index * width).cast("int")).bitwiseAND(F.lit((1 << width) - 1).cast("long"))
 
 
+def set_bits(word: Column, index: Column, width: int, value: Column) -> Column:
+    """The word with element `index` of its `width`-bit fields replaced by the low bits of a value."""
+    mask, at = F.lit((1 << width) - 1).cast("long"), (index * width).cast("int")
+    cleared = word.bitwiseAND(F.bitwise_not(F.call_function("shiftleft", mask, at)))
+    return cleared.bitwiseOR(F.call_function("shiftleft", value.cast("long").bitwiseAND(mask), at))
+
+
 def popcount(word: Column) -> Column:
     return F.bit_count(word)

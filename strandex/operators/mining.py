@@ -112,10 +112,23 @@ def without_listed(found: DataFrame, white_list: DataFrame, k: int) -> DataFrame
     return found.join(parts, "text", "left_anti")
 
 
-def signature_sets(found: DataFrame, separator: str = "¡Ã") -> DataFrame:
-    """(signature, n): the ordered set of each line's series, and how many lines have it."""
-    sets = found.groupBy("line_no").agg(F.array_join(F.sort_array(F.collect_set("text")), separator).alias("signature"))
-    return sets.groupBy("signature").agg(F.count("*").alias("n"))
+def signature_sets(found: DataFrame, ratio: float, separator: str = "¡Ã", run: int = RUN) -> DataFrame:
+    """(signature, n): the sets of series that go together, and how many lines have each.
+
+    A line's series are looked at in their order, each text once. One joins the line's set if its running count, over all
+    lines up to this one (0 at its first sight), is over `ratio` times the count of the last that joined (0 before). A
+    signature is the set in the order of texts, with the separator before each and at the end; lines without a set have none.
+    """
+    once = found.groupBy("line_no", F.col("text").alias("kgram")).agg(F.min("s").alias("pos")).withColumn("n_pos", F.lit(0).cast("long"))
+    series_of = running_counts(once, run).groupBy("line_no").agg(F.sort_array(F.collect_list(F.struct("pos", "hh", "kgram"))).alias("all"))
+    start = F.struct(F.lit(0).cast("long").alias("last"), F.array().cast("array<string>").alias("kept"))
+
+    def admit(state: Column, x: Column) -> Column:
+        joined = F.struct(x["hh"].alias("last"), F.concat(state["kept"], F.array(x["kgram"])).alias("kept"))
+        return F.when(x["hh"] > state["last"] * F.lit(ratio), joined).otherwise(state)
+
+    kept = series_of.select(F.sort_array(F.aggregate("all", start, admit)["kept"]).alias("kept")).where(F.size("kept") > 0)
+    return kept.select(F.concat(F.lit(separator), F.array_join("kept", separator), F.lit(separator)).alias("signature")).groupBy("signature").agg(F.count("*").alias("n"))
 
 
 def at_least(counts: DataFrame, threshold: int) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from strandex import schema
 from strandex.functions import scalars, udfs
 from strandex.operators import codec, cover, lookup, matching, mining, selection
+from strandex.plans import commands
 from strandex.plans import dictionary as plans
 from strandex.sources import lines as sources
 from strandex.sources import store
@@ -104,13 +105,54 @@ _RANK = "CASE WHEN length(str) = 1 THEN 0 ELSE 1000 - length(str) END"
 
 def _cover_sql(corpus: str, rows: list[tuple]) -> str:
     """rows: (symbol, string, cost, code)."""
-    return f"""WITH RECURSIVE {corpus},
-{_values("dict", "symbol, str, cost, code", rows)},
-edges AS (SELECT line_no, i + length(str) - 1 AS e, length(str) AS len, symbol, cost, code, {_RANK} AS rank FROM (SELECT line_no, line, unnest(range(1, length(line) + 1)) AS i FROM u) JOIN dict ON substr(line, i::BIGINT, length(str)) = str),
-dp AS (SELECT line_no, 0::BIGINT AS n, [{{'c': 0::BIGINT, 'r': 0::BIGINT, 'p': '', 'b': ''}}] AS d FROM u
+    return f"WITH RECURSIVE {corpus},\n{_values('dict', 'symbol, str, cost, code', rows)},\n{_cover_steps('dict')}"
+
+
+def _cover_steps(entries: str, no: str = "") -> str:
+    """edges, dp and best, each with `no` in its name, over a table of entries (symbol, str, cost, code)."""
+    return f"""edges{no} AS (SELECT line_no, i + length(str) - 1 AS e, length(str) AS len, symbol, cost, code, {_RANK} AS rank FROM (SELECT line_no, line, unnest(range(1, length(line) + 1)) AS i FROM u) JOIN {entries} ON substr(line, i::BIGINT, length(str)) = str),
+dp{no} AS (SELECT line_no, 0::BIGINT AS n, [{{'c': 0::BIGINT, 'r': 0::BIGINT, 'p': '', 'b': ''}}] AS d FROM u
+UNION ALL
+SELECT dp.line_no, dp.n + 1, list_append(dp.d, m.v) FROM dp{no} dp JOIN u USING (line_no) JOIN LATERAL (SELECT min({{'c': (dp.d[e.e - e.len + 1].c + e.cost)::BIGINT, 'r': e.rank::BIGINT, 'p': dp.d[e.e - e.len + 1].p || ' ' || e.symbol, 'b': dp.d[e.e - e.len + 1].b || e.code}}) AS v FROM edges{no} e WHERE e.line_no = dp.line_no AND e.e = dp.n + 1) m ON true WHERE dp.n < length(u.line)),
+best{no} AS (SELECT dp.line_no, u.line, dp.d[dp.n + 1] AS v FROM dp{no} dp JOIN u USING (line_no) WHERE dp.n = length(u.line)),
+used{no} AS (SELECT x::INTEGER AS symbol, count(*)::BIGINT AS uses FROM (SELECT unnest(string_split(ltrim(v.p), ' ')) AS x FROM best{no}) GROUP BY x)"""
+
+
+# The walk over ranked patterns f (str, freq, h, gain, i), whose accepted rows are the choice
+
+_STATES = "(length(f.str) - coalesce(list_max(list_transform(w.taken, lambda t: list_max(list_transform(range(0, length(f.str) + 1), lambda k: CASE WHEN k <= length(t) AND left(t, k) = left(f.str, k) THEN k ELSE 0 END)))), 0))"
+
+
+def _walk_sql(most: int) -> str:
+    return f"""walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS taken, 0 AS n, NULL::VARCHAR AS str, NULL::BIGINT AS freq, NULL::DOUBLE AS h, false AS ok
+UNION ALL
+SELECT i, CASE WHEN ok THEN list_append(taken, str) ELSE taken END, n + ok::INT, str, freq, h, ok FROM (
+SELECT f.i, w.taken, w.n, f.str, f.freq, f.h, w.n < {most} AND f.gain >= {_STATES} * 32 + f.h AS ok
+FROM walk w JOIN f ON f.i = w.i + 1))"""
+
+
+# A dictionary of the pages in SQL, for given candidates: counts, covers of pieces, choice, covers of bits, codes
+
+
+def _dictionary_sql(most: int) -> str:
+    return f"""WITH RECURSIVE {PAGES_SQL},
+hist AS (SELECT i::INTEGER AS symbol, (coalesce(n, 0) + 1)::BIGINT AS freq FROM range(1, 128) r(i) LEFT JOIN (SELECT ascii(ch) AS symbol, count(*) AS n FROM (SELECT unnest(string_split(line, '')) AS ch FROM u) GROUP BY 1) c ON c.symbol = i),
+{_values("given", "str", [(t,) for _, t, _ in PATTERNS])},
+pool AS (SELECT str, count(*)::BIGINT AS n FROM (SELECT line, unnest(range(1, length(line) + 1)) AS i FROM u) JOIN given ON substr(line, i::BIGINT, length(str)) = str GROUP BY str),
+total AS (SELECT (1 + (SELECT sum(freq) FROM hist) + (SELECT sum(n) FROM pool))::DOUBLE AS total),
+unit AS (SELECT symbol, chr(symbol) AS str, 1 AS cost, '' AS code FROM hist UNION ALL SELECT (127 + row_number() OVER (ORDER BY str))::INTEGER, str, 1, '' FROM pool),
+{_cover_steps("unit", "1")},
+priced AS (SELECT symbol, str, 1 + coalesce(uses, 0) AS freq, log2(total / (1 + coalesce(uses, 0))) AS h FROM unit LEFT JOIN used1 USING (symbol), total),
+f AS (SELECT str, freq, h, freq * (8 * length(str) - h) AS gain, row_number() OVER (ORDER BY freq * (8 * length(str) - h) DESC, str) AS i FROM priced WHERE symbol > 127),
+{_walk_sql(most)},
+entries AS (SELECT symbol, str, greatest(1, floor(h))::BIGINT AS cost, '' AS code FROM priced WHERE symbol < 128 UNION ALL SELECT (127 + row_number() OVER (ORDER BY i))::INTEGER, str, greatest(1, floor(h))::BIGINT, '' FROM walk WHERE ok),
+{_cover_steps("entries", "2")},
+freqs AS (SELECT symbol, str, (1 + coalesce(uses, 0))::BIGINT AS freq FROM entries LEFT JOIN used2 USING (symbol)),
+merged AS (SELECT 0 AS step, (SELECT list_sort(list({{'f': freq, 's': symbol, 'm': [symbol]}})) FROM freqs) AS l, []::INTEGER[] AS a, []::INTEGER[] AS b, 0::BIGINT AS cost
 UNION ALL
-SELECT dp.line_no, dp.n + 1, list_append(dp.d, m.v) FROM dp JOIN u USING (line_no) JOIN LATERAL (SELECT min({{'c': (dp.d[e.e - e.len + 1].c + e.cost)::BIGINT, 'r': e.rank::BIGINT, 'p': dp.d[e.e - e.len + 1].p || ' ' || e.symbol, 'b': dp.d[e.e - e.len + 1].b || e.code}}) AS v FROM edges e WHERE e.line_no = dp.line_no AND e.e = dp.n + 1) m ON true WHERE dp.n < length(u.line)),
-best AS (SELECT dp.line_no, u.line, dp.d[dp.n + 1] AS v FROM dp JOIN u USING (line_no) WHERE dp.n = length(u.line))"""
+SELECT step + 1, list_sort(list_append(l[3:], {{'f': l[1].f + l[2].f, 's': least(l[1].s, l[2].s), 'm': list_concat(l[1].m, l[2].m)}})), l[1].m, l[2].m, (l[1].f + l[2].f)::BIGINT FROM merged WHERE len(l) > 1),
+codes AS (SELECT symbol, string_agg(bit, '' ORDER BY step DESC) AS code FROM (SELECT unnest(a) AS symbol, '0' AS bit, step FROM merged UNION ALL SELECT unnest(b), '1', step FROM merged) GROUP BY symbol),
+dict AS (SELECT symbol, str, freq, symbol < 128 AS is_literal, length(code)::INTEGER AS code_len, code FROM freqs JOIN codes USING (symbol))"""
 
 
 _COSTED = [(s, t, c, "") for s, t, c in ENTRIES]
@@ -180,8 +222,26 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
         f"WITH {mined}, {_values('w', 'pat', [(w,) for w in WHITE_LIST])} SELECT line_no, s, e, text FROM series WHERE NOT EXISTS (SELECT 1 FROM w WHERE contains(w.pat, series.text) AND length(series.text) >= {K})",
     )
     q["signature_sets"] = (
-        lambda s, d: mining.signature_sets(_series(_pages(s, d)), "¡Ã"),
-        f"WITH {mined} SELECT signature, count(*)::BIGINT AS n FROM (SELECT array_to_string(list_sort(list_distinct(list(text))), '¡Ã') AS signature FROM series GROUP BY line_no) GROUP BY signature",
+        lambda s, d: mining.signature_sets(_series(_pages(s, d)), RATIO, run=64),
+        f"""WITH RECURSIVE {mined},
+once AS (SELECT line_no, text, min(s) AS s FROM series GROUP BY line_no, text),
+told AS (SELECT *, row_number() OVER (PARTITION BY line_no ORDER BY s) AS i, CASE WHEN nth > 1 THEN nth ELSE 0 END AS seen FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY line_no) AS nth FROM once)),
+gate AS (SELECT line_no, 0::BIGINT AS i, 0::BIGINT AS last, []::VARCHAR[] AS kept FROM (SELECT DISTINCT line_no FROM told)
+UNION ALL
+SELECT t.line_no, t.i, CASE WHEN t.seen > g.last * {RATIO}::DOUBLE THEN t.seen ELSE g.last END, CASE WHEN t.seen > g.last * {RATIO}::DOUBLE THEN list_append(g.kept, t.text) ELSE g.kept END FROM gate g JOIN told t ON t.line_no = g.line_no AND t.i = g.i + 1)
+SELECT '¡Ã' || array_to_string(list_sort(kept), '¡Ã') || '¡Ã' AS signature, count(*)::BIGINT AS n FROM (SELECT line_no, arg_max(kept, i) AS kept FROM gate GROUP BY line_no) WHERE len(kept) > 0 GROUP BY 1""",
+    )
+    q["evicting_summary"] = (
+        lambda s, d: mining.space_saving(mining.kgrams(sources.from_table(_table(s, d, "nation"), "n_nationkey", "n_name"), 2), "kgram", ["line_no", "pos"], 20),
+        """WITH RECURSIVE u AS (SELECT n_nationkey::BIGINT AS line_no, n_name AS line FROM nation),
+g AS (SELECT substr(line, i::BIGINT, 2) AS item, row_number() OVER (ORDER BY line_no, i) AS i FROM (SELECT line_no, line, unnest(range(1, length(line))) AS i FROM u)),
+w AS (SELECT 0::BIGINT AS i, []::STRUCT(c BIGINT, t BIGINT, item VARCHAR, d BIGINT)[] AS l
+UNION ALL
+SELECT g.i, list_sort(CASE
+WHEN list_contains(list_transform(l, lambda x: x.item), g.item) THEN list_transform(l, lambda x: CASE WHEN x.item = g.item THEN {'c': x.c + 1, 't': g.i, 'item': x.item, 'd': x.d} ELSE x END)
+WHEN len(l) < 20 THEN list_append(l, {'c': 1, 't': g.i, 'item': g.item, 'd': 0})
+ELSE list_append(l[2:], {'c': l[1].c + 1, 't': g.i, 'item': g.item, 'd': l[1].c}) END) FROM w JOIN g ON g.i = w.i + 1)
+SELECT x.item AS item, x.c AS count, x.d AS delta FROM (SELECT unnest(l) AS x FROM w WHERE i = (SELECT max(i) FROM w))""",
     )
     # Matching
     occ = f"WITH {PAGES_SQL}, {_values('dict', 'symbol, str', [(s, t) for s, t, _ in PATTERNS])}, o AS (SELECT line_no, (i + length(str) - 1)::BIGINT AS end_pos, length(str)::INTEGER AS len, symbol::INTEGER AS symbol FROM (SELECT line_no, line, unnest(range(1, length(line) + 1)) AS i FROM u) JOIN dict ON substr(line, i::BIGINT, length(str)) = str)"
@@ -218,18 +278,11 @@ def _queries() -> dict[str, tuple[Query, str | None]]:
         anchors,
         occ.replace("WITH ", "WITH RECURSIVE ", 1)
         + """, f AS (SELECT str, n AS freq, log2(1000000::DOUBLE / n) AS h, row_number() OVER (ORDER BY n * (8 * length(str) - log2(1000000::DOUBLE / n)) DESC, str) AS i, n * (8 * length(str) - log2(1000000::DOUBLE / n)) AS gain FROM (SELECT symbol, count(*)::BIGINT AS n FROM o GROUP BY symbol) JOIN dict USING (symbol)),
-walk AS (SELECT 0::BIGINT AS i, []::VARCHAR[] AS taken, 0 AS n, NULL::VARCHAR AS str, NULL::BIGINT AS freq, NULL::DOUBLE AS h, false AS ok
-UNION ALL
-SELECT i, CASE WHEN ok THEN list_append(taken, str) ELSE taken END, n + ok::INT, str, freq, h, ok FROM (
-SELECT f.i, w.taken, w.n, f.str, f.freq, f.h, w.n < 6 AND f.gain >= (length(f.str) - coalesce(list_max(list_transform(w.taken, lambda t: list_max(list_transform(range(0, length(f.str) + 1), lambda k: CASE WHEN k <= length(t) AND left(t, k) = left(f.str, k) THEN k ELSE 0 END)))), 0)) * 32 + f.h AS ok
-FROM walk w JOIN f ON f.i = w.i + 1))
+"""
+        + _walk_sql(6)
+        + """
 SELECT str, freq, greatest(1, floor(h))::BIGINT AS code_len FROM walk WHERE ok""",
     )
-    weights = {s: 1 for s in range(1, schema.LITERALS + 1)} | {s: 4 * (12 - c) for s, _, c in PATTERNS}
-    q["huffman_weighted_length"] = (
-        lambda s, d: s.createDataFrame([(weights[x], len(c)) for x, _, c in CODED], "f long, n long").agg(F.sum(F.col("f") * F.col("n")).alias("total")),
-        f"WITH RECURSIVE m AS (SELECT list_sort([{', '.join(map(str, weights.values()))}]::BIGINT[]) AS l, 0::BIGINT AS total UNION ALL SELECT list_sort(list_append(l[3:], l[1] + l[2])), total + l[1] + l[2] FROM m WHERE len(l) > 1) SELECT max(total) AS total FROM m",
-    )
     q["encode_bits"] = lambda s, d: codec.encode_bits(_pages(s, d), CODED), f"{_cover_sql(PAGES_SQL, _CODED)} SELECT line_no, v.c AS nbits, v.b AS bits FROM best"
     q["encode_payload"] = (
         lambda s, d: codec.encode(_parts(s, d), CODED).select("line_no", F.col("nbits").cast("long").alias("nbits"), F.hex("payload").alias("payload")),
@@ -253,13 +306,61 @@ SELECT str, freq, greatest(1, floor(h))::BIGINT AS code_len FROM walk WHERE ok""
     q["mined_components_roundtrip"] = (lambda s, d: (lambda b: codec.decode(codec.encode(_pages(s, d), b), b))(plans.build(_pages(s, d), plans.Params(1100, 100, 0.5, 2), ".").coded())), q["decode_roundtrip"][1]
     q["mined_candidates"] = lambda s, d: plans.candidates(_pages(s, d), MINED), q["candidate_topn_pages"][1]
     # Dictionaries
-    fixed = plans.Dictionary([(s, t, weights[s], s <= schema.LITERALS, CODES[s]) for s, t, _ in ENTRIES])
-    rows = _values("dict", "symbol, str, freq, code", [(s, t, weights[s], CODES[s]) for s, t, _ in ENTRIES])
-    q["dict_rows"] = lambda s, d: fixed.frame(s), f"WITH {rows} SELECT symbol, str, freq::BIGINT AS freq, symbol < 128 AS is_literal, length(code)::INTEGER AS code_len, code FROM dict"
-    q["dict_size"] = lambda s, d: plans.size_bytes(fixed.frame(s)), f"WITH {rows} SELECT sum(12 + strlen(str) + ceil(length(code) / 32.0))::BIGINT AS dict_size, sum(12 + strlen(str) + 4 * ceil(length(code) / 32.0))::BIGINT AS dict_bytes FROM dict"
-    q["stats_row"] = lambda s, d: plans.stats(fixed.frame(s), 7), f"WITH {rows} SELECT count(*)::BIGINT AS symbols, sum((symbol >= 128)::INT)::BIGINT AS patterns, max(length(code))::BIGINT AS max_code_len, max(length(str))::BIGINT AS max_pattern_len, sum(length(str))::BIGINT AS pattern_chars, 7::BIGINT AS records FROM dict"
-    q["dump_patterns"] = lambda s, d: store.patterns_only(fixed.frame(s)).select("symbol", "freq", "code_len", F.length("str").alias("str_len"), scalars.hex_escape(F.col("str")).alias("str")), f"WITH {rows} SELECT symbol, freq::BIGINT AS freq, length(code)::INTEGER AS code_len, length(str)::INTEGER AS str_len, str FROM dict WHERE symbol >= 128"
-    q["dump_from_symbol"] = lambda s, d: store.from_symbol(fixed.frame(s), 41).select("symbol", "str"), f"WITH {rows} SELECT symbol, str FROM dict WHERE symbol >= 41"
+
+    def chosen(s: SparkSession, d: str, most: int = 6) -> plans.Dictionary:
+        """The dictionary of the pages with PATTERNS as candidates."""
+        pages, text = _pages(s, d), {x: t for x, t, _ in PATTERNS}
+        literals = {r["symbol"]: r["freq"] for r in mining.histogram(pages).collect()}
+        pool = [(text[r["symbol"]], r["n"]) for r in matching.occurrence_counts(found(s, d)).collect()]
+        return plans.finish(pages, literals, pool, 1 + sum(literals.values()) + sum(n for _, n in pool), plans.Params(n2=most))
+
+    made = _dictionary_sql(6)
+    code_hex = "(SELECT '0x' || array_to_string(list_transform(range(0, ceil(length(code) / 8.0)::BIGINT * 2), lambda i: format('{:x}', list_sum(list_transform(range(1, 5), lambda j: (1 << (4 - j)) * (substr(code, i * 4 + j, 1) = '1')::INT))::BIGINT)), ''))"
+    q["dict_rows"] = lambda s, d: chosen(s, d).frame(s), f"{made} SELECT * FROM dict"
+    q["dict_size"] = lambda s, d: plans.size_bytes(chosen(s, d).frame(s)), f"{made} SELECT sum(12 + strlen(str) + ceil(code_len / 32.0))::BIGINT AS dict_size, sum(12 + strlen(str) + 4 * ceil(code_len / 32.0))::BIGINT AS dict_bytes FROM dict"
+    q["stats_row"] = lambda s, d: (lambda x: plans.stats(x.frame(s), x.records))(chosen(s, d)), f"{made} SELECT count(*)::BIGINT AS symbols, sum((symbol >= 128)::INT)::BIGINT AS patterns, max(code_len)::BIGINT AS max_code_len, max(length(str))::BIGINT AS max_pattern_len, sum(length(str))::BIGINT AS pattern_chars, (SELECT count(*) FROM u)::BIGINT AS records FROM dict"
+    q["dump_patterns"] = lambda s, d: store.dump(store.patterns_only(chosen(s, d).frame(s))), f"{made} SELECT symbol, freq, code_len, {code_hex} AS code_hex, length(str)::INTEGER AS str_len, str FROM dict WHERE NOT is_literal"
+    q["dump_from_symbol"] = lambda s, d: store.from_symbol(chosen(s, d).frame(s), 41).select("symbol", "str", "freq"), f"{made} SELECT symbol, str, freq FROM dict WHERE symbol >= 41"
+    q["huffman_weighted_length"] = lambda s, d: chosen(s, d).frame(s).agg(F.sum(F.col("freq") * F.col("code_len")).alias("total")), f"{made} SELECT sum(cost)::BIGINT AS total FROM merged"
+
+    def stored(s: SparkSession, d: str) -> DataFrame:
+        path = store.scratch(s)
+        store.store(chosen(s, d), s, path)
+        back = store.load(s, path)
+        return back.frame(s).withColumns({"n2": F.lit(back.params.n2).cast("long"), "records": F.lit(back.records).cast("long")})
+
+    q["stored_dictionary"] = stored, f"{made} SELECT *, 6::BIGINT AS n2, (SELECT count(*) FROM u)::BIGINT AS records FROM dict"
+    # Files: the pages' URLs, and other columns, written and read again
+
+    def archived(s: SparkSession, d: str) -> DataFrame:
+        path = store.scratch(s)
+        sources.write_lines(_pages(s, d), f"{path}/in")
+        store.compress(s, f"{path}/in", f"{path}/archive", MINED, None)
+        store.extract(s, f"{path}/archive", f"{path}/out")
+        return sources.read_lines(s, f"{path}/out").select("line")
+
+    def delimited(s: SparkSession, d: str) -> DataFrame:
+        path = store.scratch(s)
+        sources.write_lines(_pages(s, d), path, b"\xff")
+        return sources.read_lines(s, path, b"\xff").select("line", F.octet_length("line").alias("n"))
+
+    def pattern_file(s: SparkSession, d: str) -> DataFrame:
+        path = store.scratch(s)
+        _table(s, d, "part").select("p_name").unionByName(s.createDataFrame([("",)], "p_name string")).write.text(path)
+        return sources.read_patterns(s, path)
+
+    def reported(s: SparkSession, d: str) -> DataFrame:
+        path = store.scratch(s)
+        store.append_report(commands.encode_report(s, _pages(s, d), chosen(s, d)), path)
+        return s.read.option("header", True).option("inferSchema", True).csv(path).select(*(F.col(c).cast("long").alias(c) for c in ("n", "decoded_bytes", "encoded_bytes", "dict_size", "symbols", "patterns", "max_code_len", "max_pattern_len", "pattern_chars", "n2")))
+
+    q["archive_roundtrip"] = archived, f"WITH {PAGES_SQL} SELECT line FROM u"
+    q["byte_delimited_lines"] = delimited, f"WITH {PAGES_SQL} SELECT line, strlen(line)::INTEGER AS n FROM u"
+    q["pattern_file"] = pattern_file, "SELECT DISTINCT p_name AS pat FROM part WHERE p_name <> ''"
+    q["report_csv"] = (
+        reported,
+        f"{made}, coded AS (SELECT symbol, str, code_len::BIGINT AS cost, '' AS code FROM dict), {_cover_steps('coded', '3')} SELECT (SELECT count(*) FROM best3)::BIGINT AS n, (SELECT sum(strlen(line) + 1) FROM u)::BIGINT AS decoded_bytes, (SELECT ceil(sum(v.c) / 8.0) FROM best3)::BIGINT AS encoded_bytes, sum(12 + strlen(str) + ceil(code_len / 32.0))::BIGINT AS dict_size, count(*)::BIGINT AS symbols, sum((symbol >= 128)::INT)::BIGINT AS patterns, max(code_len)::BIGINT AS max_code_len, max(length(str))::BIGINT AS max_pattern_len, sum(length(str))::BIGINT AS pattern_chars, 6::BIGINT AS n2 FROM dict",
+    )
     q["symbol_of_char"] = lambda s, d: _pages(s, d).select("line_no", F.posexplode(F.transform(F.filter(F.split("line", ""), lambda c: c != ""), lambda c: F.ascii(c))).alias("pos", "symbol")), f"WITH {PAGES_SQL} SELECT line_no, (generate_subscripts(c, 1) - 1)::INTEGER AS pos, ascii(unnest(c)) AS symbol FROM (SELECT line_no, string_split(line, '') AS c FROM u)"
     # Lookups
     built = lambda s, d: _pages(s, d).where(F.col("line").contains("/en/"))  # noqa: E731  one category of the pages; the others are misses
@@ -277,8 +378,8 @@ SELECT str, freq, greatest(1, floor(h))::BIGINT AS code_len FROM walk WHERE ok""
     )
     # Scalars
     q["hex_escape"] = (
-        lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("t")).where(F.col("t").rlike(r"^[\x01-\x7f]*\z")).select("conv_id", "turn", scalars.hex_escape(F.concat(F.col("t"), F.lit("\t\n"))).alias("escaped")),
-        r"SELECT conv_id, turn, array_to_string(list_transform(string_split(text || chr(9) || chr(10), ''), lambda c: CASE WHEN regexp_full_match(c, '[ -~]') THEN c ELSE '|' || hex(c) || '|' END), '') AS escaped FROM conversations WHERE regexp_full_match(text, '[\x01-\x7f]*')",
+        lambda s, d: _table(s, d, "conversations").select("conv_id", "turn", scalars.hex_escape(F.concat(F.col("text"), F.lit("\t\n"))).alias("escaped")),
+        "SELECT conv_id, turn, array_to_string(list_transform(string_split(text || chr(9) || chr(10), ''), lambda c: CASE WHEN regexp_full_match(c, '[ -~]') THEN c ELSE '|' || hex(c) || '|' END), '') AS escaped FROM conversations",
     )
     q["size_conversions"] = (
         lambda s, d: _table(s, d, "lineitem").select(F.col("l_orderkey").cast("long").alias("x")).distinct().select("x", scalars.bits_to_words(F.col("x")).alias("w"), scalars.bits_to_bytes(F.col("x")).alias("b"), scalars.bytes_to_words(F.col("x")).alias("bw")),
@@ -288,7 +389,15 @@ SELECT str, freq, greatest(1, floor(h))::BIGINT AS code_len FROM walk WHERE ok""
         lambda s, d: _table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("x")).select("x", scalars.popcount(F.col("x")).cast("long").alias("ones"), *(scalars.get_bits(F.col("x"), F.lit(i), 3).alias(f"f{i}") for i in range(3))),
         "SELECT x, bit_count(x)::BIGINT AS ones, (x >> 0) & 7 AS f0, (x >> 3) & 7 AS f1, (x >> 6) & 7 AS f2 FROM (SELECT o_orderkey::BIGINT AS x FROM orders)",
     )
-    q["crc32c_of_urls"] = lambda s, d: _pages(s, d).select("line_no", udfs.crc32c()("line").alias("crc")), None
+    for width in (1, 2):
+        q[f"bit_fields_set_{width}"] = (
+            lambda s, d, width=width: _table(s, d, "orders").select(F.col("o_orderkey").cast("long").alias("x")).select("x", *(scalars.set_bits(F.col("x"), F.lit(i), width, F.lit(v)).alias(f"s{i}") for i, v in ((0, 1), (3, 2), (5, 3))), scalars.get_bits(F.col("x"), F.lit(3), width).alias("g3")),
+            f"SELECT x, {', '.join(f'(x & ~({(1 << width) - 1}::BIGINT << {i * width})) | ({v & ((1 << width) - 1)}::BIGINT << {i * width}) AS s{i}' for i, v in ((0, 1), (3, 2), (5, 3)))}, (x >> {3 * width}) & {(1 << width) - 1} AS g3 FROM (SELECT o_orderkey::BIGINT AS x FROM orders)",
+        )
+    q["crc32c_of_urls"] = (
+        lambda s, d: _pages(s, d).select("line_no", udfs.crc32c()("line").alias("crc")),
+        f"WITH {PAGES_SQL} SELECT line_no, xor(4294967295, list_reduce(list_transform(string_split(line, ''), lambda c: ascii(c)::BIGINT), lambda crc, byte: list_reduce([xor(crc, byte), 0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[], lambda r, step: CASE WHEN r & 1 = 1 THEN xor(r >> 1, {udfs.CASTAGNOLI}) ELSE r >> 1 END), 4294967295::BIGINT)) AS crc FROM u",
+    )
     q["udf_roundtrip"] = (
         lambda s, d: _pages(s, d).select("line_no", udfs.encoder(CODED)("line").alias("e")).select("line_no", udfs.decoder(CODED)("e.nbits", "e.payload").alias("line")),
         q["decode_roundtrip"][1],

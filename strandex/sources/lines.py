@@ -32,12 +32,25 @@ def number_rows(df: DataFrame, name: str = "line_no") -> DataFrame:
     return marked.withColumn(name, first + F.col("__id").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))).drop("__id")
 
 
-def read_lines(spark: SparkSession, path: str | list[str], delimiter: str = "\n", recursive: bool = False) -> DataFrame:
-    """(line_no, line) of text files, records ended by a delimiter of one character; an empty last record is no record."""
-    text = spark.read.option("lineSep", delimiter).option("recursiveFileLookup", str(recursive).lower()).text(path)
+def read_lines(spark: SparkSession, path: str | list[str], delimiter: str | bytes = "\n", recursive: bool = False) -> DataFrame:
+    """(line_no, line) of text files, records ended by a delimiter; an empty last record is no record.
+
+    The delimiter is one character, or one byte, which may be one that is no text by itself, such as 0xFF.
+    """
+    text = spark.read.option("recursiveFileLookup", str(recursive).lower()).options(**_ends(delimiter)).text(path)
     return number_rows(text).select("line_no", F.col("value").alias("line"))
 
 
+def write_lines(lines: DataFrame, path: str, delimiter: str | bytes = "\n") -> None:
+    """Write (line_no, line) as text files in the order of line_no, each record ended by the delimiter."""
+    lines.orderBy("line_no").select(F.col("line").alias("value")).write.mode("overwrite").options(**_ends(delimiter)).text(path)
+
+
+def _ends(delimiter: str | bytes) -> dict[str, str]:
+    """Options of the text source; the encoding is that of the record's end alone."""
+    return {"lineSep": delimiter.decode("latin-1"), "encoding": "ISO-8859-1"} if isinstance(delimiter, bytes) else {"lineSep": delimiter}
+
+
 def from_table(df: DataFrame, key: str, text: str) -> DataFrame:
     """(line_no, line) of a table: the key is the order."""
     return df.select(df[key].cast("long").alias("line_no"), df[text].alias("line"))

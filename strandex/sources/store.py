@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import json
+import tempfile
+import uuid
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -42,7 +44,7 @@ def extract(spark: SparkSession, source: str, target: str) -> None:
     """Write an archive's lines as text, in their order."""
     dictionary = load(spark, f"{source}/dictionary")
     lines = codec.decode(spark.read.parquet(f"{source}/encoded"), dictionary.coded())
-    lines.orderBy("line_no").select(F.col("line").alias("value")).write.mode("overwrite").text(target)
+    sources.write_lines(lines, target)
 
 
 def dump(dictionary: DataFrame) -> DataFrame:
@@ -64,3 +66,11 @@ def from_symbol(dictionary: DataFrame, symbol: int = 41) -> DataFrame:
 def append_report(row: DataFrame, path: str) -> None:
     """Add a row of statistics to a CSV report."""
     row.coalesce(1).write.mode("append").option("header", True).csv(path)
+
+
+def scratch(spark: SparkSession) -> str:
+    """A new folder name in the shared folder that spark.checkpoint.dir names. A local session may go without that setting."""
+    base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{base or tempfile.gettempdir()}/strandex-{uuid.uuid4().hex}"
