@@ -7,6 +7,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from strandex.operators import codec
 from strandex.plans import commands
 from strandex.plans.dictionary import Params
 from strandex.sources import lines as sources
@@ -28,6 +29,8 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("-u", "--probes", help="text file of strings to look up")
     p.add_argument("-v", "--verify", action="store_true")
     p.add_argument("-x", "--repeats", type=int, default=20)
+    p.add_argument("-z", "--size", type=int, default=10_000, help="lines in each random set")
+    p.add_argument("-s", "--sets", type=int, default=10, help="random sets")
     p.add_argument("-p", "--print", action="store_true", dest="show", help="show the dictionary")
     return p
 
@@ -45,16 +48,19 @@ def main(argv: list[str] | None = None) -> None:
     made = store.load(spark, target) if a.command == "encode" else commands.build_and_store(spark, lines, target, params, a.split)
     if a.show:
         store.dump(made.frame(spark)).show(1000, False)
+    report = None
     if a.command == "testhash":
         probes = sources.valid_lines(sources.read_lines(spark, a.probes)) if a.probes else lines
-        rows = commands.test_lookup(lines, probes, made)
-        print(json.dumps({"probes": rows.count(), "misses": rows.where("value is null").count(), "different": rows.where("NOT value <=> encoded_value").count()}))
+        report = commands.lookup_report(spark, lines, probes, made)
     elif a.command == "article":
-        print(json.dumps({"seconds": commands.sample_encodes(lines, made, repeats=a.repeats)}))
+        totals = codec.totals(lines, codec.encode(lines, made.coded())).first()
+        seconds = commands.sample_encodes(lines, made, a.sets, a.size, a.repeats)
+        print(json.dumps({"ratio": totals["encoded_bytes"] / max(totals["decoded_bytes"], 1), "seconds": seconds}))
     elif a.command == "ac":
-        print(json.dumps({"hits": commands.hits(spark, lines, made).groupBy().sum("hits").first()[0]}))
+        report = commands.match_report(spark, lines, made, a.repeats)
     else:
         report = commands.encode_report(spark, lines, made, a.verify or a.command == "test")
+    if report is not None:
         print(json.dumps(report.first().asDict()))
         if a.output:
             store.append_report(report, a.output)
