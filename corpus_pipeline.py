@@ -5,8 +5,8 @@ rows of its predecessor's output less what the stage decides to drop or cut. run
 folder that spark.checkpoint.dir names and reads it again.
 
 Defined results: an empty table gives no rows; a null or empty text fails the quality rules and goes; further columns, of
-any name, pass through to the last stage; of rows with one id, near-dedup keeps all or none; rows with a null id lose no
-words in substring dedup and are packed with a null id.
+any name, pass through to the last stage; near-dedup keeps one row of a component, repeated rows and ids included; rows with
+a null id lose no words in substring dedup and are packed with a null id.
 """
 
 from __future__ import annotations
@@ -20,11 +20,6 @@ from pyspark.sql import functions as F
 from strandex.llm import common, packing, quality, simhash, substring_dedup, toxicity
 
 
-def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows whose id is among ids; a null id may be among them."""
-    return docs.join(ids.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(ids["__kept"]), "left_semi")
-
-
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep the documents that the threshold table keeps. The rules see one row at a time, so rows are filtered in place."""
     return quality.keep(docs)
@@ -36,9 +31,25 @@ def non_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document, the one of least id, of each component of SimHash links."""
-    found = simhash.near_duplicates(docs)
-    return _kept(docs, found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct())
+    """Keep one row, of those with the least id, of each component of SimHash links; a null id is greater than all.
+
+    Rows are told apart by id and text, not by their place, which a lost executor may change. Only where such a row is
+    repeated, the kept rows are also compared with each other.
+    """
+    key = _unused("row", docs)
+    marked = docs.withColumn(key, F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("hash")))
+    found = simhash.near_duplicates(marked, id_col=key).where(F.col(key) == F.col("component_id")).groupBy(F.col(key).alias("kept")).agg(F.count("*").alias("n"))
+    least = common.cut(found)
+    left = marked.join(least.select("kept").hint("shuffle_hash"), marked[key].eqNullSafe(F.col("kept")), "left_semi")
+    return (left if least.where("n > 1").isEmpty() else left.dropDuplicates([key, "text"])).drop(key)
+
+
+def _unused(name: str, docs: DataFrame) -> str:
+    """A column name that docs doesn't have in any case of letters."""
+    taken = {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
