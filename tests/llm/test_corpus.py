@@ -283,6 +283,16 @@ def test_pipeline(spark):
     assert {r["doc_id"] for r in pieces.select("doc_id").distinct().collect()} == {r["doc_id"] for r in docs.collect()}
 
 
+def test_near_dedup_keeps_one_row_of_a_component(spark):
+    one, two, three = ("".join(random.Random(seed).choices("abcdefgh ", k=400)) for seed in (1, 2, 3))
+    rows = [(5, one), (5, one), (5, two), (3, two), (None, three), (None, three), (None, two), (9, three), (None, "alone here")]
+    docs = spark.createDataFrame([(i, t, "Row", "x") for i, t in rows], "doc_id long, text string, Row string, `a.b` string").repartition(3)
+    assert corpus_pipeline.near_dedup(spark, docs.where("doc_id = 3"), "").count() == 1
+    left = corpus_pipeline.near_dedup(spark, docs, "")
+    assert left.columns == docs.columns
+    assert sorted(((r["doc_id"], r["text"]) for r in left.collect()), key=str) == sorted([(5, one), (3, two), (9, three), (None, "alone here")], key=str)
+
+
 def test_pipeline_stages_stand_odd_tables(spark, odd, nothing):
     base = spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (None, "x " * 50, "en", "s", 100), (2, "", "de", None, 0)], nothing.schema)
     for table in (nothing, base):
