@@ -29,14 +29,15 @@ def running_counts(grams: DataFrame, run: int = RUN) -> DataFrame:
     """Adds hh: how often the k-gram was seen up to here in the order (line_no, pos), 0 at its first sight.
 
     Ranks are taken inside runs of `run` lines and moved on by the counts of the runs before, so no window holds all
-    occurrences of a frequent k-gram.
+    occurrences of a frequent k-gram. The counts of runs grow with the corpus and are merged with the ranks: sizes that
+    are estimated from the corpus' files don't see the k-grams, and would have them broadcast.
     """
     marked = grams.withColumn("run", F.floor(F.col("line_no") / run))
     inside = marked.withColumn("rank", F.row_number().over(Window.partitionBy("kgram", "run").orderBy("line_no", "pos")))
     sums = marked.groupBy("kgram", "run").agg(F.count("*").alias("n"))
     before = sums.select("kgram", "run", (F.sum("n").over(Window.partitionBy("kgram").orderBy("run").rowsBetween(Window.unboundedPreceding, 0)) - F.col("n")).alias("before"))
     total = F.col("rank") + F.col("before")
-    return inside.join(before, ["kgram", "run"]).select("line_no", "pos", "kgram", "n_pos", F.when(total > 1, total).otherwise(0).cast("long").alias("hh"))
+    return inside.join(before.hint("merge"), ["kgram", "run"]).select("line_no", "pos", "kgram", "n_pos", F.when(total > 1, total).otherwise(0).cast("long").alias("hh"))
 
 
 def final_counts(grams: DataFrame, top: int) -> DataFrame:
@@ -56,6 +57,7 @@ def series(counted: DataFrame, lines: DataFrame, k: int, ratio: float, trim_tail
 
     With trim_tail, as a one-pass scan that never sees the line's end does it: a stretch of several k-grams that is still
     open there loses its last character, and a stretch that the last k-gram alone begins by a break of ratio is dropped.
+    The lines are the whole corpus and are never broadcast.
     """
     by_line = Window.partitionBy("line_no").orderBy("pos")
     previous = F.coalesce(F.lag("hh").over(by_line), F.lit(0))
@@ -68,7 +70,7 @@ def series(counted: DataFrame, lines: DataFrame, k: int, ratio: float, trim_tail
     if trim_tail:
         spans = spans.where(~((F.col("s") == F.col("last")) & F.col("broken")))
         width = F.when((F.col("e") == F.col("last")) & (F.col("e") > F.col("s")), width - 1).otherwise(width)
-    return spans.withColumn("width", width).join(lines, "line_no").select("line_no", "s", "e", F.substring(F.col("line"), (F.col("s") + 1).cast("int"), F.col("width").cast("int")).alias("text"))
+    return spans.withColumn("width", width).join(lines.hint("merge"), "line_no").select("line_no", "s", "e", F.substring(F.col("line"), (F.col("s") + 1).cast("int"), F.col("width").cast("int")).alias("text"))
 
 
 def series_counts(found: DataFrame) -> DataFrame:
@@ -84,14 +86,14 @@ def heavy(counts: DataFrame, capacity: int) -> DataFrame:
 def containment_scores(candidates: DataFrame, at_least: int = 1) -> DataFrame:
     """(pat, real_count, score): 1 + the counts of all candidates that contain this one, itself included.
 
-    As an equi-join: every candidate is exploded to its distinct substrings, of lengths that candidates have.
+    As an equi-join: every candidate is exploded to its distinct substrings, of lengths that candidates have. These grow
+    with the square of a candidate's length and are never broadcast.
     """
-    lengths = sorted(r["n"] for r in candidates.select(F.length("pat").alias("n")).distinct().collect())  # at most a string's length
-    every = F.array(*map(F.lit, lengths)) if lengths else F.array().cast("array<int>")
-    windows = candidates.select("pat", "real_count", F.explode(every).alias("n")).where(f"n <= length(pat) and n >= {at_least}")
+    lengths = candidates.agg(F.collect_set(F.length("pat"))).scalar()  # in the same job, which reads the candidates' exchange again
+    windows = candidates.select("pat", "real_count", F.explode(lengths).alias("n")).where(f"n <= length(pat) and n >= {at_least}")
     parts = windows.select("pat", "real_count", "n", F.explode(F.sequence(F.lit(1), F.length("pat") - F.col("n") + 1)).alias("i")).select("pat", "real_count", F.substring(F.col("pat"), F.col("i"), F.col("n")).alias("part")).distinct()
     sums = parts.groupBy("part").agg(F.sum("real_count").alias("total"))
-    return candidates.join(sums, candidates["pat"] == sums["part"]).select("pat", "real_count", (F.col("total") + 1).alias("score"))
+    return candidates.join(sums.hint("merge"), candidates["pat"] == sums["part"]).select("pat", "real_count", (F.col("total") + 1).alias("score"))
 
 
 def pool_size(n: int) -> int:

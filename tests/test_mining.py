@@ -70,6 +70,15 @@ def test_scores_and_candidates(spark):
     assert mining.pool_size(100) == 1120 and mining.pool_size(1000) == 1200
 
 
+def test_scores_start_no_job_of_their_own(spark):
+    df = spark.createDataFrame([("he", 5), ("she", 3)], "pat string, real_count long")
+    spark.sparkContext.setJobGroup("scores", "scores")
+    scored = mining.containment_scores(df)
+    assert not spark.sparkContext.statusTracker().getJobIdsForGroup("scores")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {tuple(r) for r in scored.collect()} == {("he", 5, 9), ("she", 3, 4)} and mining.containment_scores(df.limit(0)).count() == 0
+
+
 def test_white_list(spark):
     series = spark.createDataFrame([(1, 0, 0, "abc"), (1, 2, 3, "zzz"), (2, 0, 1, "ab")], schema.SERIES)
     listed = spark.createDataFrame([("xabcx",), ("q",)], "pat string")

@@ -36,3 +36,10 @@ def test_encoding_moves_nothing(spark):
 def test_a_validity_filter_is_applied_in_the_scan_stage(spark):
     text = plan(own.queries()["ingest_valid_lines"](spark, SF))
     assert "Exchange" not in text and "Python" not in text
+
+
+@pytest.mark.parametrize("name", ["candidate_topn_parts"])
+def test_mining_broadcasts_nothing(spark, name):
+    """A small file can have many k-grams: neither its size nor adaptive execution may bring them to the driver."""
+    df = entry.queries()[name](spark, SF)
+    assert "Broadcast" not in plan(df) and df.collect() and "Broadcast" not in plan(df)
