@@ -38,7 +38,7 @@ def test_a_validity_filter_is_applied_in_the_scan_stage(spark):
     assert "Exchange" not in text and "Python" not in text
 
 
-@pytest.mark.parametrize("name", ["candidate_topn_parts", "kgram_series_parts"])
+@pytest.mark.parametrize("name", ["candidate_topn_parts", "kgram_series_parts", "series_line_counts_parts"])
 def test_mining_broadcasts_nothing(spark, name):
     """A small file can have many k-grams: neither its size nor adaptive execution may bring them to the driver."""
     df = entry.queries()[name](spark, SF)
