@@ -7,9 +7,12 @@ or none have: so every term counts and those that mark the class count more. A t
 ones too, and unit length.
 
 Examples are numbered so that like ones are neighbours, and cut into blocks of BLOCK. Each term's list has an entry for
-each block that holds it: the block's largest value and its postings (example, value). A query adds up an upper bound for
-each block, opens blocks from the highest bound down, and stops when no bound reaches the k-th similarity found: the
-neighbours are exact. Of equal similarities the example first in the index counts.
+each block that holds it: the block's largest value and its postings (example, value). The COMMON commonest terms, whose
+lists fill most blocks, are whole rows instead: one product for CHUNK texts gives their share of each similarity. A query
+adds the block's largest share and the largest values of its other terms to an upper bound for each block, opens the
+blocks of the highest bounds and then all whose bound reaches the k-th similarity found: the neighbours are exact. Values
+are multiples of 2**-25 and 2**-26, so sums in double precision are exact in any order: equal texts and equal examples
+have equal similarities. Of equal similarities the example first in the index counts.
 
 A neighbour votes with its similarity times its class's weight in all labelled rows. The share of toxic votes becomes a
 rate by a logistic curve in its log-odds, fitted on the votes that the examples themselves get with each left out. Texts
@@ -27,7 +30,8 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import batched, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -40,8 +44,8 @@ from strandex.llm.common import cut
 #: Chosen by two-fold cross-validation inside the rows that may be learnt from (README).
 LEAN, NEIGHBOURS = 3, 31
 BLOCK = 32
-#: Blocks opened at once; results don't depend on it.
-OPENED = 8
+#: Blocks opened first, terms kept as rows, texts scored at once; results don't depend on them.
+OPENED, COMMON, CHUNK = 8, 128, 32
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -53,15 +57,25 @@ def held_out(doc_id: Column) -> Column:
 def terms_of(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of a text's words, in order, and how often each stands in it."""
     counts = Counter(LETTERS.findall((text or "").lower()))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in counts), np.uint64, len(counts))
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, counts), np.uint64, len(counts))
     order = np.argsort(hashes)
     return hashes[order], np.fromiter(counts.values(), np.int64, len(counts))[order]
 
 
 def _ranges(begin: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """All numbers of the ranges, one range after the other."""
-    length = end - begin
-    return np.repeat(begin - np.concatenate(([0], np.cumsum(length)[:-1])), length) + np.arange(length.sum()) if len(begin) else np.zeros(0, np.int64)
+    """All numbers of the ranges, none of them empty, one range after the other."""
+    if not len(begin):
+        return np.zeros(0, np.int64)
+    first = np.cumsum(end - begin)
+    step = np.ones(first[-1], np.int64)
+    step[0] = begin[0]
+    step[first[:-1]] = begin[1:] - end[:-1] + 1
+    return np.cumsum(step)
+
+
+def _whole(value: np.ndarray, bits: int) -> np.ndarray:
+    """Positive values as multiples of 2**-bits, at least one."""
+    return np.maximum(np.rint(value * (1 << bits)), 1) / (1 << bits)
 
 
 class Index:
@@ -93,7 +107,7 @@ class Index:
         # postings by term and example; an entry is a term's postings in one block
         at = place[owner]
         order = np.lexsort((at, number))
-        self.at, self.value, number = at[order].astype(np.int32), value[order].astype(np.float32), number[order]
+        self.at, self.value, number = at[order].astype(np.int32), _whole(value[order], 25).astype(np.float32), number[order]
         blocks = self.at // block
         new = np.ones(len(order), dtype=bool)
         new[1:] = (number[1:] != number[:-1]) | (blocks[1:] != blocks[:-1])
@@ -103,6 +117,12 @@ class Index:
         self.most = np.maximum.reduceat(self.value, begin) if len(begin) else self.value[:0]
         self.entries = np.searchsorted(number[begin], np.arange(len(self.terms) + 1)).astype(np.int32)
         self.blocks = -(-self.n // block)
+        common = np.argsort(-having, kind="stable")[:COMMON]
+        self.row = np.full(len(self.terms), -1, dtype=np.int32)
+        self.row[common] = np.arange(len(common))
+        self.rows = np.zeros((len(common), self.blocks * block))
+        filled = self.row[number] >= 0
+        self.rows[self.row[number[filled]], self.at[filled]] = self.value[filled]
 
     def _places(self, examples, number, owner, value, having) -> np.ndarray:
         """The place of each example: by class, the commonest words it has, its heaviest word of several examples, and id."""
@@ -128,40 +148,51 @@ class Index:
         found[found == len(self.terms)] = 0
         known = self.terms[found] == hashes if len(self.terms) else np.zeros(len(hashes), dtype=bool)
         value = (1 + np.log(counts)) * np.where(known, self.weight[found] if len(self.terms) else 0, self.unknown)
-        value /= np.sqrt((value * value).sum())
-        return found[known], value[known]
+        return found[known], _whole(value[known] / np.sqrt((value * value).sum()), 26)
 
     def nearest(self, hashes: np.ndarray, counts: np.ndarray, but=None) -> list[tuple[float, int]]:
         """The (similarity, place) of the k nearest examples of positive similarity, nearest first; `but`: an id that doesn't count."""
-        term, query = self.vector(hashes, counts)
-        entry = _ranges(self.entries[term], self.entries[term + 1])
-        if not len(entry):
-            return []
-        weight = np.repeat(query, self.entries[term + 1] - self.entries[term])
-        own = self.in_block[entry]
-        bound = np.bincount(own, weight * self.most[entry], minlength=self.blocks)
+        return next(self.nearest_of([(hashes, counts)], [but]))
+
+    def nearest_of(self, texts: Iterable[tuple[np.ndarray, np.ndarray]], but: Iterable | None = None) -> Iterator[list[tuple[float, int]]]:
+        """The nearest of each of several texts; but: an id for each."""
+        for some in batched(zip(texts, repeat(None) if but is None else but, strict=False), CHUNK):
+            vectors = [self.vector(*x) for x, _ in some]
+            common = np.zeros((len(vectors), len(self.rows)))
+            for own, (term, query) in zip(common, vectors, strict=True):
+                row = self.row[term]
+                own[row[row >= 0]] = query[row >= 0]
+            shares = common @ self.rows
+            most = shares.reshape(len(vectors), self.blocks, self.block).max(axis=2)
+            for j, (term, query) in enumerate(vectors):
+                rest = self.row[term] < 0
+                yield self._nearest(term[rest], query[rest], shares[j], most[j], some[j][1])
+
+    def _nearest(self, term: np.ndarray, query: np.ndarray, total: np.ndarray, bound: np.ndarray, but) -> list[tuple[float, int]]:
+        """The nearest by the terms that have no row; total: the shares of those that have one, bound: the largest of each block."""
+        entry, length = _ranges(self.entries[term], self.entries[term + 1]), self.entries[term + 1] - self.entries[term]
+        weight, own = np.repeat(query, length), self.in_block.take(entry)
+        bound = bound + np.bincount(own, weight * self.most.take(entry), minlength=self.blocks)
         order = np.argsort(-bound, kind="stable")
-        total, least, begin, size = np.zeros(self.n), 0.0, 0, OPENED
         skipped = [j for j, i in enumerate(self.ids) if i == but] if but is not None else []
-        while begin < self.blocks:
-            chosen = order[begin : begin + size]
-            chosen = chosen[(bound[chosen] > 0) & (bound[chosen] >= least - 1e-6)]
-            if not len(chosen):
-                break
+        least = self._kth(total, skipped)
+        for chosen in (order[:OPENED], order[OPENED:]):
             opened = np.zeros(self.blocks, dtype=bool)
-            opened[chosen] = True
-            here = opened[own]
-            e = entry[here]
-            postings = _ranges(self.begin[e], self.begin[e + 1])
-            total += np.bincount(self.at[postings], np.repeat(weight[here], self.begin[e + 1] - self.begin[e]) * self.value[postings], minlength=self.n)
-            total[skipped] = 0
-            if np.count_nonzero(total) >= self.k:
-                least = float(np.partition(total, -self.k)[-self.k])
-            begin, size = begin + size, 2 * size
-        total = np.round(total, 9)
-        found = np.nonzero(total > 0)[0] if least <= 0 else np.nonzero(total >= round(least, 9))[0]
+            opened[chosen] = (bound[chosen] > 0) & (bound[chosen] >= least)
+            here = np.nonzero(opened.take(own))[0]
+            e = entry.take(here)
+            begin, end = self.begin.take(e), self.begin.take(e + 1)
+            postings = _ranges(begin, end)
+            total = total + np.bincount(self.at.take(postings), np.repeat(weight.take(here), end - begin) * self.value.take(postings), minlength=len(total))
+            least = self._kth(total, skipped)
+        found = np.nonzero(total >= least if least > 0 else total > 0)[0]
         return [(float(total[j]), int(j)) for j in found[np.lexsort((found, -total[found]))][: self.k]]
 
+    def _kth(self, total: np.ndarray, skipped: list[int]) -> float:
+        """The k-th similarity, 0 if there are fewer; what is skipped has none."""
+        total[skipped] = 0
+        return float(np.partition(total, -self.k)[-self.k]) if len(total) >= self.k else 0.0
+
     def vote(self, near: list[tuple[float, int]]) -> float:
         """The toxic share of the neighbours' votes."""
         votes = [(s * self.votes[at], self.labels[at]) for s, at in near]
@@ -184,9 +215,14 @@ class Index:
 
     def score(self, hashes: np.ndarray, counts: np.ndarray) -> tuple[float, str | None]:
         """Score and evidence of one text."""
-        if self.base in (0.0, 1.0):
-            return self.base, None
-        near = self.nearest(hashes, counts)
+        return next(self.scores([(hashes, counts)]))
+
+    def scores(self, texts: Iterable[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[float, str | None]]:
+        """Score and evidence of each text."""
+        return ((self.base, None) for _ in texts) if self.base in (0.0, 1.0) else map(self._judged, self.nearest_of(texts))
+
+    def _judged(self, near: list[tuple[float, int]]) -> tuple[float, str | None]:
+        """Score and evidence by the nearest examples."""
         if not near:
             return self.base, None
         a, b = self.curve
@@ -226,7 +262,7 @@ def fit(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str =
         def left_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = sent.value
             for b in batches:
-                near = [own.nearest(*terms_of(t.as_py()), but=i) for i, t in zip(b.column(0).to_pylist(), b.column(2), strict=True)]
+                near = own.nearest_of((terms_of(t.as_py()) for t in b.column(2)), b.column(0).to_pylist())
                 yield pa.RecordBatch.from_arrays([pa.array([own.vote(x) if x else None for x in near], pa.float64()), b.column(1)], ["vote", "label"])
 
         votes = rows.mapInArrow(left_out, "vote double, label int").where("vote is not null").collect()
@@ -242,7 +278,7 @@ def score(docs: DataFrame, index: Index, id_col: str = "doc_id", text_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
-            found = [own.score(*terms_of(t.as_py())) for t in b.column(1)]
+            found = list(own.scores(terms_of(t.as_py()) for t in b.column(1)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s for s, _ in found], pa.float64()), pa.array([e for _, e in found], pa.string())], ["id", "score", "evidence"])
 
     scored = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text")).mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, score double, evidence string")
@@ -262,6 +298,6 @@ def keep(docs: DataFrame, labels: DataFrame, examples: int = 2000, id_col: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = sent.value
         for b in batches:
-            yield b.filter(pa.array([own.score(*terms_of(t.as_py()))[0] < threshold for t in b.column(place)], pa.bool_()))
+            yield b.filter(pa.array([s < threshold for s, _ in own.scores(terms_of(t.as_py()) for t in b.column(place))], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -2,6 +2,7 @@
 
 import math
 import random
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -91,3 +92,30 @@ def test_blank_index_and_texts():
     index = toxicity.Index([(1, 1, *toxicity.terms_of("bad word")), (2, 0, *toxicity.terms_of("")), (3, 0, *toxicity.terms_of("good word"))], (2.0, 1.0))
     for text in (None, "", " 123 !", "unknown"):
         assert index.score(*toxicity.terms_of(text)) == (pytest.approx(0.2), None)
+
+
+def test_similarities_are_exact_sums_in_any_order_and_company():
+    texts = examples(150, 5)
+    index = toxicity.Index([(i, label, *toxicity.terms_of(t)) for i, label, t in texts], block=4)
+    queries = [toxicity.terms_of(t) for *_, t in texts]
+    together = list(index.nearest_of(queries))
+    for query, near in zip(queries, together, strict=True):
+        assert near == index.nearest(*query)
+        values = {}
+        for term, value in zip(*index.vector(*query), strict=True):
+            for at in range(index.begin[index.entries[term]], index.begin[index.entries[term + 1]]):
+                values.setdefault(int(index.at[at]), []).append(Fraction(float(value)) * Fraction(float(index.value[at])))
+        every = sorted(((-sum(v), at) for at, v in values.items()))
+        assert [(Fraction(s), at) for s, at in near] == [(-s, at) for s, at in every[: index.k]]
+
+
+def test_few_of_the_lists_are_read(monkeypatch):
+    r = random.Random(2)
+    texts = [(i, i % 2, " ".join(r.sample(WORDS, 24) + [f"{'xy'[i % 2]}{'abcdefghij'[r.randint(0, 9)]}{'klmnop'[r.randint(0, 5)]}" for _ in range(6)])) for i in range(2000)]
+    index = toxicity.Index([(i, label, *toxicity.terms_of(t)) for i, label, t in texts])
+    read, ranges = [], toxicity._ranges
+    monkeypatch.setattr(toxicity, "_ranges", lambda begin, end: read.append(int((end - begin).sum())) or ranges(begin, end))
+    lists = [int((index.begin[index.entries[t + 1]] - index.begin[index.entries[t]]).sum()) for t in (index.vector(*toxicity.terms_of(text))[0] for *_, text in texts[:50])]
+    for *_, text in texts[:50]:
+        index.nearest(*toxicity.terms_of(text))
+    assert sum(read) < 0.1 * sum(lists)
